@@ -4,17 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import format_conversations, read_back
 from .common import documents
 from .exact_dedup import exact_groups
+from .packing import pack
+from .repair_store import read_tokens, store_path, write_tokens
 from .sharding import regular, shard_slots
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 #: Five regions of two racks of four shards.
 TREE_40 = regular(5, 2, 4)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), WORD_BPE).drop("ids")
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store_path(spark)
+    write_tokens(documents(spark, sf_dir), path, WORD_BPE)
+    return read_tokens(spark, path)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_slots(documents(spark, sf_dir), TREE_40, TREE_40.grow())
 
@@ -30,31 +45,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns))
 
 
-def _draw(*parts: str) -> str:
-    digest = "substr(md5(concat_ws('/', " + ", ".join(parts) + ")), 1, 12)"
-    return f"((('0x' || {digest})::BIGINT::DOUBLE + 0.5) / 281474976710656.0)"
-
-
-def _level(name: str, parent: str, children: str) -> str:
-    """The children (a relation of child, weight) drawn under a parent: the smallest draw."""
-    return f"""(SELECT arg_min(c.child, -ln({_draw("k", f"'{name}'", f"CAST({parent} AS VARCHAR)", "CAST(c.child AS VARCHAR)")}) / c.weight) FROM (VALUES {children}) c(child, weight))"""
-
-
-_REGIONS = ", ".join(f"({i}, 8.0)" for i in range(5))
-_RACKS = ", ".join(f"({i}, 4.0)" for i in range(2))
-_SHARDS = ", ".join(f"({i}, 1.0)" for i in range(4))
-
-OP3_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, text FROM documents),
-r AS (SELECT *, {_level("region", "0", _REGIONS)} AS r40, {_level("region", "0", _REGIONS + ", (5, 1.0)")} AS r41 FROM d),
-a AS (SELECT *, r40 * 2 + {_level("rack", "r40", _RACKS)} AS k40, CASE WHEN r41 < 5 THEN r41 * 2 + {_level("rack", "r41", _RACKS)} END AS k41 FROM r),
-s AS (SELECT *, k40 * 4 + {_level("shard", "k40", _SHARDS)} AS s40, CASE WHEN r41 < 5 THEN k41 * 4 + {_level("shard", "k41", _SHARDS)} ELSE 40 END AS s41,
-  CAST(floor({_draw("k", "'lane'")} * 64) AS INT) AS lane FROM a)
-SELECT doc_id, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(s40 AS INT) AS shard,
-  CAST(row_number() OVER (PARTITION BY s40 ORDER BY lane, doc_id) - 1 AS BIGINT) AS slot, CAST(s41 AS INT) AS grown_shard
-FROM s
-"""
-
 OP6_SQL = """
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS s, length(coalesce(text, '')) AS n FROM documents)
 SELECT doc_id, first(doc_id) OVER w AS keep_id, CAST(count(*) OVER (PARTITION BY s) AS BIGINT) AS group_size,
@@ -63,9 +53,11 @@ FROM d WINDOW w AS (PARTITION BY s ORDER BY n DESC, doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op9_token_store": op9_token_store,
     "op3_sharding": op3_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {"op3_sharding": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
