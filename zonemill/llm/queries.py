@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import format_conversations, read_back
 from .common import documents
 from .exact_dedup import exact_groups
+from .langid import identify, train
 from .packing import pack
+from .quality import judge
 from .repair_store import read_tokens, store_path, write_tokens
 from .sharding import regular, shard_slots
 
@@ -24,6 +26,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), WORD_BPE).drop("ids")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return identify(docs, train(docs))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("failed_rules")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store_path(spark)
     write_tokens(documents(spark, sf_dir), path, WORD_BPE)
@@ -54,6 +65,8 @@ FROM d WINDOW w AS (PARTITION BY s ORDER BY n DESC, doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_language": op2_language,
+    "op4_quality": op4_quality,
     "op9_token_store": op9_token_store,
     "op3_sharding": op3_sharding,
     "op6_exact_dedup": op6_exact_dedup,
