@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
 from .common import documents
@@ -15,7 +16,10 @@ from .packing import pack
 from .quality import judge
 from .repair_store import read_tokens, store_path, write_tokens
 from .sharding import regular, shard_slots
+from .surrogates import KINDS, replace_entities
 
+#: Stands for a secret that a deployment would supply.
+KEY = "surrogate-key"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 #: Five regions of two racks of four shards.
@@ -35,6 +39,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("failed_rules")
 
 
+def _of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda entity: entity["kind"] == kind
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    done = replace_entities(docs, KEY, found="found")
+    kinds = [F.size(F.filter("found", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return done.select("doc_id", F.size("found").cast("long").alias("n_entities"), *kinds, "text")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store_path(spark)
     write_tokens(documents(spark, sf_dir), path, WORD_BPE)
@@ -67,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
     "op4_quality": op4_quality,
+    "op8_surrogates": op8_surrogates,
     "op9_token_store": op9_token_store,
     "op3_sharding": op3_sharding,
     "op6_exact_dedup": op6_exact_dedup,
