@@ -15,6 +15,7 @@ from .langid import identify, train
 from .packing import pack
 from .quality import judge
 from .repair_store import read_tokens, store_path, write_tokens
+from .setsketch import near_groups
 from .sharding import regular, shard_slots
 from .surrogates import KINDS, replace_entities
 
@@ -39,6 +40,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("failed_rules")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir), width=3, percent=85)
+
+
 def _of_kind(kind: str) -> Callable[[Column], Column]:
     return lambda entity: entity["kind"] == kind
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
     "op4_quality": op4_quality,
+    "op7_near_dedup": op7_near_dedup,
     "op8_surrogates": op8_surrogates,
     "op9_token_store": op9_token_store,
     "op3_sharding": op3_sharding,
