@@ -70,3 +70,16 @@ def in_bitmap(df: DataFrame, key: Column, bits: DataFrame, buckets: int) -> Data
         )
         .drop("_bucket", "_at", "_bits")
     )
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``ids`` (one column, not null), all columns as they are.
+
+    Only rows that hit the bitmap of ``ids`` are shuffled; the others pass.
+    """
+    ids = ids.toDF("_gone").distinct()
+    bits, buckets = bitmap_of(ids, "_gone")
+    marked = in_bitmap(docs, F.col(id_col).cast("long"), bits, buckets)
+    passed = marked.where("not _hit").drop("_hit")
+    checked = marked.where("_hit").drop("_hit").join(ids, F.col(id_col) == F.col("_gone"), "left_anti")
+    return passed.unionByName(checked)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, cut, in_bitmap
@@ -104,3 +104,26 @@ def exact_groups(
         (F.col("_row") == F.col("_best.r")).alias("kept"),
         "text_sha256",
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``exact_groups`` drops, all columns as they are.
+
+    Only rows whose id hits the bitmap of dropped ids are shuffled.  Of rows
+    that share id and text, as many stay as are kept: one or none.
+    """
+    verdict = cut(exact_groups(docs, id_col, text_col))
+    gone = verdict.where("not kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_gone")).distinct()
+    bits, buckets = bitmap_of(gone, "_gone")
+    marked = in_bitmap(docs, F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")), bits, buckets)
+    stay = verdict.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count_if("kept").alias("_stay"))
+    hit = marked.where("_hit").withColumns({"_digest": F.sha2(without_spaces(F.col(text_col)), 256), "_len": F.char_length(F.coalesce(text_col, F.lit("")))})
+    # Rows of one id and one text: as many as the table repeats a row.
+    rank = F.row_number().over(Window.partitionBy(id_col, "_digest").orderBy(F.desc("_len"), text_col))
+    checked = (
+        hit.withColumn("_rank", rank)
+        .join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")))
+        .where("_rank <= _stay")
+        .select(*docs.columns)
+    )
+    return marked.where("not _hit").select(*docs.columns).unionByName(checked)
