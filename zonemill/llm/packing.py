@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .repair_store import in_order
-from .tokens import END_FLAG, UnitEncoder
+from .tokens import END_FLAG, SLICE, UnitEncoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
 
@@ -163,8 +163,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, pri
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(lo, SLICE)
                 for doc, ids in zip(piece["doc_id"].to_pylist(), encoder.flagged(piece["text"].to_pylist())):
                     whole = np.concatenate((ids, end))
                     held.append((doc, 0, len(whole), whole))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .tokens import UnitEncoder
+from .tokens import SLICE, UnitEncoder
 
 MAGIC = b"ZMRP0001"
 HEAD = struct.Struct("<8sIIIII")
@@ -219,8 +219,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
             return out
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(lo, SLICE)
                 for doc, ids in zip(piece["doc_id"].to_pylist(), encoder.encode(piece["text"].to_pylist())):
                     names.append(doc)
                     held.append(np.concatenate((ids, end)))

@@ -17,6 +17,9 @@ END_FLAG = 0x80000000
 #: Units met once, and units met again, that a worker keeps before it starts anew; only speed depends on them.
 YOUNG_UNITS, KEPT_UNITS = 600_000, 500_000
 
+#: Texts encoded at a time: new words of many texts share one call of the library.
+SLICE = 768
+
 _CLOSERS = "\"')]}»”’"
 _STOPS = frozenset(".!?")
 _ENDS = frozenset(_CLOSERS + ".!?\n")
@@ -32,7 +35,38 @@ def _lowered(text: str) -> str:
     return text if "<|" in text else text.lower()
 
 
-class UnitEncoder:
+class UnitCache:
+    """Ids of units; ``_learn`` puts those of new ones into ``young``, and a unit met again is kept."""
+
+    def __init__(self) -> None:
+        self.kept: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        raise NotImplementedError
+
+    def found(self, split: list[list[str]]) -> list[list[bytes]]:
+        """The ids of every unit of every text."""
+        if len(self.kept) > KEPT_UNITS:
+            self.kept.clear()
+        if len(self.young) > YOUNG_UNITS:
+            self.young.clear()
+        kept, young = self.kept, self.young
+        found = [list(map(kept.get, units)) for units in split]
+        missing = [{u for u, i in zip(units, ids) if i is None} if None in ids else None for units, ids in zip(split, found)]
+        rare = set().union(*(m for m in missing if m))
+        if rare:
+            new = [u for u in rare if u not in young]
+            if len(new) < len(rare):
+                kept.update((u, young[u]) for u in rare if u in young)
+            self._learn(new)
+            for k, m in enumerate(missing):
+                if m:
+                    found[k] = [young[u] if i is None else i for u, i in zip(split[k], found[k])]
+        return found
+
+
+class UnitEncoder(UnitCache):
     """Encodes texts with one tokenizer file whose word-final tokens end in ``</w>``; ``shared`` gives a worker's own."""
 
     _own: dict[str, UnitEncoder] = {}
@@ -51,8 +85,7 @@ class UnitEncoder:
         self.final = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.final[i] = token.endswith("</w>")
-        self.kept: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
+        super().__init__()
         self.tails: dict[str, bytes] = {"": b""}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -74,22 +107,26 @@ class UnitEncoder:
 
     def _learn(self, new: list[str]) -> None:
         """Ids of new units.  Letters of Latin-1 and the punctuation after them are separate words to the tokenizer."""
-        cores, split, whole = [], [], []
+        # Most new units are a known word with other punctuation: only words that are new themselves go to the library.
+        kept, young = self.kept, self.young
+        split, whole, asked = [], [], {}
         for unit in new:
             core = unit.rstrip(_TAIL)
             if core.isalpha() and (core.isascii() or max(core) <= "ÿ"):
-                split.append((unit, unit[len(core) :]))
-                cores.append(core)
+                split.append((unit, core, unit[len(core) :]))
+                if core not in asked:
+                    asked[core] = kept.get(core) or young.get(core)
             else:
                 whole.append(unit)
-        tails = [t for t in {t for _, t in split} if t not in self.tails]
+        words = [c for c, ids in asked.items() if ids is None]
+        asked.update(zip(words, self._words(words)))
+        tails = [t for t in {t for _, _, t in split} if t not in self.tails]
         if len(self.tails) > 50_000:
             self.tails = {"": b""}
-            tails = list({t for _, t in split} - {""})
+            tails = list({t for _, _, t in split} - {""})
         self.tails.update(zip(tails, self._whole(tails)))
-        made = [(u, c + self.tails[t]) for (u, t), c in zip(split, self._words(cores))]
+        made = [(u, asked[c] + self.tails[t]) for u, c, t in split]
         made += zip(whole, self._whole(whole))
-        young = self.young
         for unit, ids in made:
             if ids and unit[-1] in _ENDS and (unit[-1] == "\n" or unit.rstrip(_CLOSERS)[-1:] in _STOPS):
                 ids = ids[:-1] + bytes([ids[-1] | 0x80])
@@ -98,23 +135,7 @@ class UnitEncoder:
     def flagged(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as uint32, with ``END_FLAG`` in ids that end a sentence or line."""
         split = [_lowered(t).replace("\n", "\n ").split(" ") for t in texts]
-        if len(self.kept) > KEPT_UNITS:
-            self.kept.clear()
-        if len(self.young) > YOUNG_UNITS:
-            self.young.clear()
-        kept, young = self.kept, self.young
-        found = [list(map(kept.get, units)) for units in split]
-        missing = [{u for u, i in zip(units, ids) if i is None} if None in ids else None for units, ids in zip(split, found)]
-        rare = set().union(*(m for m in missing if m))
-        if rare:
-            new = [u for u in rare if u not in young]
-            if len(new) < len(rare):
-                kept.update((u, young[u]) for u in rare if u in young)
-            self._learn(new)
-            for k, m in enumerate(missing):
-                if m:
-                    found[k] = [young[u] if i is None else i for u, i in zip(split[k], found[k])]
-        return [np.frombuffer(b"".join(ids), dtype="<u4") for ids in found]
+        return [np.frombuffer(b"".join(ids), dtype="<u4") for ids in self.found(split)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [a & np.uint32(END_FLAG - 1) for a in self.flagged(texts)]
