@@ -17,10 +17,12 @@ from .quality import judge
 from .repair_store import read_tokens, store_path, write_tokens
 from .setsketch import near_groups
 from .sharding import regular, shard_slots
+from .spiece import encode_decode
 from .surrogates import KINDS, replace_entities
 
 #: Stands for a secret that a deployment would supply.
 KEY = "surrogate-key"
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 #: Five regions of two racks of four shards.
@@ -40,6 +42,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("failed_rules")
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir), PIECES)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), width=3, percent=85)
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
     "op4_quality": op4_quality,
+    "op5_pieces": op5_pieces,
     "op7_near_dedup": op7_near_dedup,
     "op8_surrogates": op8_surrogates,
     "op9_token_store": op9_token_store,
