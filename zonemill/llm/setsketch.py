@@ -26,8 +26,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,7 +167,6 @@ def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of the edges (a, b): the smallest id it reaches, by alternating stars."""
     cur = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
     while True:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -175,10 +174,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         cur = cut(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        # Done when all edges are stars: every node has one edge, to a node that has none itself.
+        inner = cur.select("u").intersect(cur.select(F.col("v").alias("u")))
+        several = cur.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").select("u")
+        if inner.union(several).isEmpty():
             return cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = now
 
 
 def _pass_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -230,16 +230,16 @@ def _proposals(members: DataFrame, percent: int, most: int | None) -> DataFrame:
     as_member = rows.withColumns({"chunk": F.pmod(F.xxhash64("id"), "chunks").cast("int"), "is_stray": F.lit(False)}).select(*kept)
     as_stray = rows.where(stray).withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "is_stray": F.lit(True)}).select(*kept)
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        band = int(pdf["band"].iloc[0])
-        strays = pdf[pdf["is_stray"]]
-        others = pdf[~pdf["is_stray"]]
-        out = []
-        if len(strays) and len(others):
-            sk = np.frombuffer(b"".join(others["sketch"]), dtype="<u2").reshape(-1, M)
+    def search(table: pa.Table) -> pa.Table:
+        band = table["band"][0].as_py()
+        is_stray = table["is_stray"]
+        strays, others = table.filter(is_stray), table.filter(pa.compute.invert(is_stray))
+        low, high = [], []
+        if strays.num_rows and others.num_rows:
+            sk = np.frombuffer(b"".join(others["sketch"].to_pylist()), dtype="<u2").reshape(-1, M)
             values = np.ascontiguousarray(sk[:, : ROWS * BANDS]).view("<u8")
             ids, n, comp = (others[c].to_numpy() for c in ("id", "n", "component"))
-            for i, size, blob, c in zip(strays["id"], strays["n"], strays["sketch"], strays["component"]):
+            for i, size, blob, c in zip(*(strays[k].to_pylist() for k in ("id", "n", "sketch", "component"))):
                 own = np.frombuffer(blob, dtype="<u2")
                 ok = (comp != c) & similar_sizes(n, size, percent)
                 ok[ok] = (values[ok] == own[: ROWS * BANDS].view("<u8")).argmax(axis=1) == band
@@ -250,10 +250,12 @@ def _proposals(members: DataFrame, percent: int, most: int | None) -> DataFrame:
                 if most is not None and len(at) > most:
                     equal = (sk[at] == own[None, :]).sum(axis=1)
                     at = at[np.lexsort((ids[at], -equal))[:most]]
-                out += [(min(i, j), max(i, j)) for j in ids[at].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                low.append(np.minimum(ids[at], i))
+                high.append(np.maximum(ids[at], i))
+        made = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (low, high)]
+        return pa.table({"a": pa.array(made[0], pa.int64()), "b": pa.array(made[1], pa.int64())})
 
-    return as_member.union(as_stray).groupBy("band", "key", "chunk").applyInPandas(search, "a long, b long").distinct()
+    return as_member.union(as_stray).groupBy("band", "key", "chunk").applyInArrow(search, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
