@@ -17,7 +17,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,22 +131,23 @@ def cutoffs(measured: DataFrame, labels: DataFrame, limit: float = LIMIT, risk:
     counted = cut(counted)
     level = risk / max(1, counted.count() * len(RULES))
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = {"stratum": pdf["stratum"]}
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            columns = [batch["stratum"]]
             for rule, (_, cs) in RULES.items():
                 chosen = []
-                for row in pdf.to_dict("records"):
+                for row in rows:
                     best = math.inf
                     for i, c in enumerate(cs):
-                        if not within(int(row[f"{rule}_{i}"]), int(row["n"]), limit, level):
+                        if not within(row[f"{rule}_{i}"], row["n"], limit, level):
                             break
                         best = c
                     chosen.append(best)
-                out[f"cut_{rule}"] = chosen
-            yield pd.DataFrame(out)
+                columns.append(pa.array(chosen, pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, names=["stratum", *(f"cut_{r}" for r in RULES)])
 
-    return counted.mapInPandas(choose, "stratum string, " + ", ".join(f"cut_{r} double" for r in RULES))
+    return counted.mapInArrow(choose, "stratum string, " + ", ".join(f"cut_{r} double" for r in RULES))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", limit: float = LIMIT, risk: float = RISK) -> DataFrame:
