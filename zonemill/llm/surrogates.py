@@ -48,8 +48,9 @@ CLOUD_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 CREDENTIAL = r"(?<![A-Za-z])(?i:password|passwd|token|secret|api[_-]?key) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9_+/-]{8,}"
 _TITLES = "|".join((MALE_TITLES + " " + FEMALE_TITLES).split())
 NAME = rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
-#: Addresses before phones before cards, as the first alternative that matches at a place wins.
-ANY = "|".join((EMAIL, IP, CARD, PHONE, SSN, CLOUD_KEY, CREDENTIAL, NAME))
+#: Addresses before cards before phones, as the first alternative that matches at a place wins.  No entity
+#: follows a Latin letter directly: that test comes first and spares the others inside words.
+ANY = "(?<![A-Za-z])(?:" + "|".join((EMAIL, IP, CARD, PHONE, SSN, CLOUD_KEY, CREDENTIAL, NAME)) + ")"
 KINDS = ("email", "ip", "card", "phone", "ssn", "cloud_key", "credential", "name")
 
 
@@ -167,9 +168,9 @@ def in_format(original: Column, digits: Column, skip: Column) -> Column:
 
 def _spelled(hexes: Column, script: str, at: int, count: int) -> Column:
     """A capitalised word of ``count`` syllables, one for each hex digit."""
-    table = F.array(*map(F.lit, SYLLABLES[script].split()))
-    syllable = lambda i: F.element_at(table, F.conv(F.substring(hexes, at + i, 1), 16, 10).cast("int") + 1)
-    return F.initcap(F.concat(*map(syllable, range(count))))
+    table = F.split(F.lit(SYLLABLES[script]), " ")
+    syllable = lambda i: F.element_at(table, F.conv(F.substring(hexes, i, F.lit(1)), 16, 10).cast("int") + 1)
+    return F.initcap(F.array_join(F.transform(F.sequence(F.lit(at), F.lit(at + count - 1)), syllable), ""))
 
 
 def surrogate_name(m: Column, hexes: Column) -> Column:
@@ -179,9 +180,9 @@ def surrogate_name(m: Column, hexes: Column) -> Column:
     script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     out = F.lit("")
     for (g, s), names in GIVEN.items():
-        given = F.element_at(F.array(*map(F.lit, names.split())), F.conv(F.substring(hexes, 1, 1), 16, 10).cast("int") + 1)
+        given = F.element_at(F.split(F.lit(names), " "), F.conv(F.substring(hexes, 1, 1), 16, 10).cast("int") + 1)
         # Twelve syllables: 48 bits, in one or two words as the original had.
-        full = F.when(rest.contains(" "), F.concat_ws(" ", given, _spelled(hexes, s, 2, 12))).otherwise(_spelled(hexes, s, 2, 12))
+        full = F.concat(F.when(rest.contains(" "), F.concat(given, F.lit(" "))).otherwise(F.lit("")), _spelled(hexes, s, 2, 12))
         out = F.when((gender == g) & (script == s), full).otherwise(out)
     return F.concat(title, F.lit(" "), out)
 
