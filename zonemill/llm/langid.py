@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Training reads about this many labelled rows, chosen by a hash of the id; the model never depends on more.
 SAMPLE_ROWS = 20_000
 #: The model keeps the most frequent words and n-grams, so that it can be broadcast whatever the sample.
@@ -89,7 +91,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         if seen:
             yield flush()
 
-    counts = labelled.mapInArrow(count, "lang string, kind string, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
+    # Read three times below, counted once.
+    counts = cut(labelled.mapInArrow(count, "lang string, kind string, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")))
     items = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     sizes = {(r["kind"], r["lang"]): r["n"] for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for _, lang in sizes})
@@ -158,16 +161,14 @@ class Scorer:
         return self.model.langs[best], float(share[best] / share.sum())
 
 
-_scorers: dict[int, Scorer] = {}
+_current: list = []
 
 
 def _scorer(model) -> Scorer:
-    """The worker's scorer of a broadcast model."""
-    key = model.id if hasattr(model, "id") else id(model)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model.value)
-    return _scorers[key]
+    """The worker's scorer of a broadcast model; the model is held, so that another one can't pass for it."""
+    if not _current or _current[0] is not model:
+        _current[:] = [model, Scorer(model.value)]
+    return _current[1]
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
