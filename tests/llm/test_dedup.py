@@ -93,6 +93,15 @@ def test_near_against_brute_force(docs):
     assert got == brute(rows, 3, 85)
 
 
+def test_near_links_at_the_limit(docs):
+    """Pairs of similarity 0.80 exactly: 80 words shared, ten of each one's own."""
+    rows = []
+    for k in range(500):
+        shared = [f"s{k}x{i}" for i in range(80)]
+        rows += [(2 * k + side, " ".join(shared + [f"o{side}x{k}x{i}" for i in range(10)])) for side in (0, 1)]
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in near_groups(docs(rows), 1, 80).collect())
+
+
 def test_near_edges(hard, docs):
     got = near_groups(hard)
     by = {r["doc_id"]: r for r in got.collect()}

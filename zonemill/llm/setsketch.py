@@ -10,20 +10,22 @@ as often as the sets overlap.
 2. four registers make a band; nodes that share a band value share a bucket;
 3. every member of a bucket is paired with the bucket's smallest node;
 4. pairs whose joint maximum-likelihood similarity is too low for chance are
-   dropped, the others verified on full sets; links give components;
+   dropped, the others verified on full sets; links give components; the number
+   of bands and this limit follow from the similarity of a link (``limits``);
 5. a bucket that still spans several components is searched again: its strays
    (members outside its largest component) meet, chunk by chunk, the members of
    other components; first only the likeliest few, then all that pass.
 
 A bucket whose members are one component needs no more pairs, so the pairs of a
 group of copies stay proportional to its size, and no link that could change a
-component is left out.
+component is left out but with the probability ``LOSS`` twice.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import bitmap_of, cut, in_bitmap
 
-#: Registers, base of their scale, registers in a band, bands.
-M, BASE, ROWS, BANDS = 128, 1.02, 4, 16
+#: Registers, base of their scale, registers in a band.
+M, BASE, ROWS = 128, 1.02, 4
 _OFFSET = 4096
-#: Similarity below which the likelihood estimate drops a pair, four standard deviations under 0.85.
-LEAST_ESTIMATE = 0.72
+#: Most probability with which the bands, and with which the likelihood estimate, may miss a pair that just links.
+LOSS = 1e-6
 #: Members of a bucket that one task compares at a time, and proposals for a stray in the first search.
 CHUNK, FIRST = 512, 4
 
@@ -118,16 +120,14 @@ def _steps(x: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
     return -np.log(z) / math.log(BASE), (BASE - 1) / (BASE * z * math.log(BASE))
 
 
-def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
-    """True where the joint maximum-likelihood similarity of sketches is ``least`` or more.
+def _not_below(above: np.ndarray, below: np.ndarray, u: np.ndarray | float, least: float) -> np.ndarray:
+    """True where registers so often larger and smaller estimate a similarity of ``least`` or more; ``u`` is the first set's share of both sizes.
 
     With u, v the shares of both sizes, P(K_a > K_b) = p_b(u - v J) and
     P(K_a < K_b) = p_b(v - u J); the log-likelihood of the counts is concave in
     J, so the estimate is at least ``least`` where its slope there is not negative.
     """
-    above, below = (a > b).sum(axis=-1), (a < b).sum(axis=-1)
     equal = M - above - below
-    u = n_a / (n_a + n_b)
     v = 1 - u
     p, dp = _steps(np.maximum(u - v * least, 1e-9))
     q, dq = _steps(np.maximum(v - u * least, 1e-9))
@@ -135,6 +135,39 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least
     return equal * (v * dp + u * dq) / rest - above * v * dp / p - below * u * dq / q >= 0
 
 
+def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
+    """True where the joint maximum-likelihood similarity of sketches is ``least`` or more."""
+    return _not_below((a > b).sum(axis=-1), (a < b).sum(axis=-1), n_a / (n_a + n_b), least)
+
+
+def missed(percent: int, least: float) -> float:
+    """Probability that the estimate of a pair of similarity ``percent`` / 100 is under ``least``, at the worst ratio of sizes; the exact trinomial sum."""
+    link = percent / 100
+    above, below = (x.ravel() for x in np.meshgrid(np.arange(M + 1), np.arange(M + 1)))
+    above, below = above[above + below <= M], below[above + below <= M]
+    log_fact = np.array([math.lgamma(k + 1) for k in range(M + 1)])
+    ways = log_fact[M] - log_fact[above] - log_fact[below] - log_fact[M - above - below]
+    worst = 0.0
+    for ratio in np.linspace(link, 1, 21):
+        u = ratio / (1 + ratio)
+        p, q = (max(float(_steps(max(x, 0.0))[0]), 1e-300) for x in (u - (1 - u) * link, 1 - u - u * link))
+        chance = np.exp(ways + above * math.log(p) + below * math.log(q) + (M - above - below) * math.log(1 - p - q))
+        worst = max(worst, float(chance[~_not_below(above, below, u, least)].sum()))
+    return worst
+
+
+@cache
+def limits(percent: int) -> tuple[int, float]:
+    """Bands, and the similarity below which an estimate drops a pair, that miss a link at ``percent`` with probability ``LOSS`` at most each."""
+    half = (1 - percent / 100) / 2
+    equal = 1 - 2 * float(_steps(half)[0])
+    bands = 1 if equal == 1 else math.ceil(math.log(LOSS) / math.log1p(-(equal**ROWS)))
+    least = percent - 1
+    while missed(percent, least / 100) > LOSS:
+        least -= 1
+    return bands, least / 100
+
+
 def similar_sizes(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
 
@@ -183,6 +216,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _pass_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and likelihood allow a link."""
+    _, least = limits(percent)
     side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
 
@@ -192,7 +226,7 @@ def _pass_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 continue
             a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype="<u2").reshape(-1, M) for c in ("s_a", "s_b"))
             n_a, n_b = (batch[c].to_numpy().astype(float) for c in ("n_a", "n_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(likely(a, b, n_a, n_b, LEAST_ESTIMATE)))
+            yield batch.select(["a", "b"]).filter(pa.array(likely(a, b, n_a, n_b, least)))
 
     return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
@@ -222,6 +256,7 @@ def _proposals(members: DataFrame, percent: int, most: int | None) -> DataFrame:
     ``members``: band, key, id, n, sketch, component of buckets with several
     components.  A pair is proposed in the first band that both share.
     """
+    bands, least = limits(percent)
     sized = members.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
     largest = sized.groupBy("band", "key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
     rows = members.join(largest, ["band", "key"]).withColumn("chunks", F.ceil(F.col("all") / CHUNK).cast("int"))
@@ -237,16 +272,16 @@ def _proposals(members: DataFrame, percent: int, most: int | None) -> DataFrame:
         low, high = [], []
         if strays.num_rows and others.num_rows:
             sk = np.frombuffer(b"".join(others["sketch"].to_pylist()), dtype="<u2").reshape(-1, M)
-            values = np.ascontiguousarray(sk[:, : ROWS * BANDS]).view("<u8")
+            values = np.ascontiguousarray(sk[:, : ROWS * bands]).view("<u8")
             ids, n, comp = (others[c].to_numpy() for c in ("id", "n", "component"))
             for i, size, blob, c in zip(*(strays[k].to_pylist() for k in ("id", "n", "sketch", "component"))):
                 own = np.frombuffer(blob, dtype="<u2")
                 ok = (comp != c) & similar_sizes(n, size, percent)
-                ok[ok] = (values[ok] == own[: ROWS * BANDS].view("<u8")).argmax(axis=1) == band
+                ok[ok] = (values[ok] == own[: ROWS * bands].view("<u8")).argmax(axis=1) == band
                 at = np.flatnonzero(ok)
                 if not len(at):
                     continue
-                at = at[likely(own[None, :], sk[at], np.full(len(at), float(size)), n[at].astype(float), LEAST_ESTIMATE)]
+                at = at[likely(own[None, :], sk[at], np.full(len(at), float(size)), n[at].astype(float), least)]
                 if most is not None and len(at) > most:
                     equal = (sk[at] == own[None, :]).sum(axis=1)
                     at = at[np.lexsort((ids[at], -equal))[:most]]
@@ -273,12 +308,12 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     * an empty table gives an empty result; other columns are not read
     """
     if percent < 80:
-        raise ValueError("bands and the likelihood limit are set for links of 80 percent or more")
+        raise ValueError("the registers have bands enough for links of 80 percent or more")
     signed = cut(sign(docs, width, id_col, text_col))
     real = signed.where("doc_id is not null and n_shingles > 0")
     classes = cut(real.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")).alias("x")).select("set_key", "x.*"))
     nodes = classes.drop("set_key")
-    value = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
+    value = F.transform(F.sequence(F.lit(0), F.lit(limits(percent)[0] - 1)), lambda i: F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
     placed = nodes.select("id", F.posexplode(value).alias("band", "value")).select("id", "band", F.xxhash64("band", "value").alias("key"))
     shared = placed.groupBy("band", "key").agg(F.count("*").alias("c"), F.min("id").alias("lead")).where("c > 1")
     buckets = cut(placed.join(shared, ["band", "key"]))
