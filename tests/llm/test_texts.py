@@ -114,6 +114,13 @@ def test_surrogates(replaced):
             assert e["canonical"] not in (r["text"] or "")
 
 
+def test_numbers_after_letters(spark):
+    rows = [(1, "ip10.0.0.1 and SSN123-45-6789, x4111111111111111 and no212-555-0199")]
+    got = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k", found="found").first()
+    assert [(e["kind"], e["mention"]) for e in got["found"]] == [("ip", "10.0.0.1"), ("ssn", "123-45-6789")]
+    assert "10.0.0.1" not in got["text"] and "123-45-6789" not in got["text"] and got["text"].endswith("x4111111111111111 and no212-555-0199")
+
+
 def test_number_surrogates_are_distinct(spark):
     rows = spark.range(3000).select(F.lpad((F.col("id") * 7919).cast("string"), 9, "0").alias("d"), F.concat_ws(".", F.lit("10"), F.lit("0"), (F.col("id") / 256).cast("int").cast("string"), (F.col("id") % 256).cast("string")).alias("ip"))
     got = rows.select(surrogates.permuted(F.col("d"), "k").alias("d"), surrogates.permuted_ip(F.col("ip"), "k").alias("ip"))

@@ -48,9 +48,9 @@ CLOUD_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 CREDENTIAL = r"(?<![A-Za-z])(?i:password|passwd|token|secret|api[_-]?key) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9_+/-]{8,}"
 _TITLES = "|".join((MALE_TITLES + " " + FEMALE_TITLES).split())
 NAME = rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
-#: Addresses before cards before phones, as the first alternative that matches at a place wins.  No entity
-#: follows a Latin letter directly: that test comes first and spares the others inside words.
-ANY = "(?<![A-Za-z])(?:" + "|".join((EMAIL, IP, CARD, PHONE, SSN, CLOUD_KEY, CREDENTIAL, NAME)) + ")"
+#: Addresses before cards before phones, as the first alternative that matches at a place wins.  Directly after a
+#: Latin letter only IP and SSN can match: that test comes first and spares the others inside words.
+ANY = "(?:(?<![A-Za-z])(?:" + "|".join((EMAIL, IP, CARD, PHONE, SSN, CLOUD_KEY, CREDENTIAL, NAME)) + f")|(?<=[A-Za-z])(?:{IP}|{SSN}))"
 KINDS = ("email", "ip", "card", "phone", "ssn", "cloud_key", "credential", "name")
 
 
