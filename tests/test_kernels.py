@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from zonemill.operators.arbitrate import Cell, is_satisfied, options, plausible_date, satisfy, snap
+from zonemill.operators.arbitrate import Cell, is_satisfied, options, plausible_date, satisfy, snap, structural
 from zonemill.streaming.session import Session, fold_all
 
 
@@ -39,6 +39,36 @@ def test_satisfy_finds_the_best_assignment():
             assert is_satisfied(*got) and abs(sum(c.score for c in [*got[0], got[1]]) - best) < 1e-9
 
 
+def test_satisfy_with_dates_and_fillers_tries_all():
+    random.seed(4)
+    for turn in range(60):
+        protected = [Cell(tuple(zip(random.sample("0123456789B<", 4), (0.9, 0.88, 0.86, 0.84))), "DigitOrFiller") for _ in range(6)]
+        check = Cell(tuple(zip(random.sample("0123456789<", 2), (0.7, 0.6))), "DigitOrFiller")
+        dates = ((0, 6),) if turn % 2 else ()
+        best = None
+        choices = [structural(c, i) if dates else options(c) for i, c in enumerate(protected)] + [options(check)]
+        for pick in itertools.product(*choices):
+            made = [Cell(c.candidates, c.kind, p[0]) for c, p in zip([*protected, check], pick)]
+            if is_satisfied(made[:6], made[6], True) and (not dates or plausible_date("".join(c.char for c in made[:6]))):
+                best = max(best or 0.0, sum(p[1] for p in pick))
+        got = satisfy(protected, check, True, dates=dates)
+        if not is_satisfied(protected, check, True) or dates and not plausible_date("".join(c.char for c in protected)):
+            assert (got is None) == (best is None)
+            assert got is None or is_satisfied(*got, True) and abs(sum(c.score for c in [*got[0], got[1]]) - best) < 1e-9
+
+
+def test_satisfy_past_many_implausible_months():
+    month = Cell((("9", 0.99), ("8", 0.98), ("7", 0.97), ("0", 0.5)), "DigitOrFiller")
+    digit = Cell((("1", 0.9), ("2", 0.89), ("0", 0.88), ("3", 0.87)), "DigitOrFiller")
+    got = satisfy([digit, digit, month, digit, digit, digit], Cell((("0", 0.95),), "Digit"), dates=((0, 6),))
+    assert got and got[0][2].char == "0" and is_satisfied(*got)
+
+
+def test_structural_date_digits():
+    cell = Cell((("7", 0.9), ("B", 0.8), ("3", 0.4), ("1", 0.3)), "DigitOrFiller")
+    assert [[c for c, _ in structural(cell, k)] for k in (0, 2, 4)] == [["7", "3", "1"], ["1"], ["3", "1"]]
+
+
 def frame(n, identity, valid=True, text=None, confidence=0.8):
     return {"session_id": "s", "frame_no": n, "mrz_found": True, "is_valid": valid, "doc_type": "Td3", "identity": identity, "lines": [text or identity * 4], "checks_valid": 5 if valid else 3, "confidence": confidence}
 

@@ -3,8 +3,8 @@
 A cell is its ranked candidates (character, score).  For one check digit, the
 least certain protected cells may change within their candidates so that the
 weighted sum fits; the change of highest total score wins, the first found in a
-tie.  The sum modulo 10 is linear, so the best assignment is found by dynamic
-programming over (cells decided, sum so far) rather than by trying all.
+tie.  The search is exhaustive: a branch ends only where the best scores that can
+still complete its sum modulo 10 fall behind, or where a date is not plausible.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from ..formats import VALUES
 
 #: Cells that may change, candidates of each, and how far under the best a candidate may score.
 MOST_CELLS, MOST_CANDIDATES, REACH = 8, 4, 0.35
+#: Candidates of a cell in a date, where only digits that can stand at its place count.
+MOST_DIGITS = 6
 ALLOWED = {
     "Any": set(VALUES) | {"<"},
     "Alpha": set(VALUES[10:]) | {"<"},
@@ -63,6 +65,13 @@ def options(cell: Cell) -> list[tuple[str, float]]:
     return out or [(cell.char, cell.score)]
 
 
+def structural(cell: Cell, offset: int) -> list[tuple[str, float]]:
+    """Of a cell at ``offset`` of a date: its digits that can stand there, best first, within reach or not; its options if it has none."""
+    legal = {2: "01", 4: "0123"}.get(offset, "0123456789")
+    digits = [(c, s) for c, s in cell.candidates if c in legal and s >= 0]
+    return sorted(digits, key=lambda x: -x[1])[:MOST_DIGITS] or options(cell)
+
+
 def plausible_date(text: str) -> bool:
     """Six characters that can be a date: filler pairs are unknown, an unknown year counts as a leap year."""
     pairs = [text[i : i + 2] for i in (0, 2, 4)]
@@ -97,35 +106,54 @@ def satisfy(protected: list[Cell], check: Cell, filler_allowed: bool = False, fi
     if is_satisfied(protected, check, filler_allowed) and good(cells):
         return protected, check
     free = sorted((i for i in range(len(cells)) if i not in fixed), key=lambda i: (cells[i].score, i))[:MOST_CELLS]
-    base = 0
+    base, filled = 0, True
     for i, c in enumerate(protected):
         if i not in free:
             if value(c.char) < 0:
                 return None
             base += value(c.char) * (7, 3, 1)[i % 3]
-    # sum modulo 10 -> assignments of the cells so far, best first; dates need more than the best one
-    keep = 1 if not dates else 64
-    states: dict[int, list[tuple[float, tuple[str, ...]]]] = {base % 10: [(0.0, ())]}
-    inner = [i for i in free if i < len(protected)]
-    for i in inner:
-        after: dict[int, list[tuple[float, tuple[str, ...]]]] = {}
-        for total, found in states.items():
-            for char, score in options(cells[i]):
-                to = (total + value(char) * (7, 3, 1)[i % 3]) % 10
-                after.setdefault(to, []).extend((s + score, (*chosen, char)) for s, chosen in found)
-        states = {t: sorted(f, key=lambda x: -x[0])[:keep] for t, f in after.items()}
-    ends = options(check) if len(protected) in free else [(check.char, check.score)]
-    tried = []
-    for total, found in states.items():
-        for char, score in ends:
-            if char == str(total):
-                tried += [(s + score, chosen, char) for s, chosen in found]
-            elif char == "<" and filler_allowed:
-                tried += [(s + score, chosen, char) for s, chosen in found if set(chosen) <= {"<"} and all(c.char == "<" for k, c in enumerate(protected) if k not in inner)]
-    for _, chosen, char in sorted(tried, key=lambda x: -x[0]):
-        new = list(protected)
-        for i, c in zip(inner, chosen):
-            new[i] = Cell(cells[i].candidates, cells[i].kind, c)
-        if good([*new, check]):
-            return new, Cell(check.candidates, check.kind, char)
-    return None
+            filled = filled and c.char == "<"
+    at_check = len(protected)
+    choices = [structural(cells[i], offset) if (offset := next((i - a for a, b in dates if a <= i < b), None)) is not None else options(cells[i]) for i in free]
+    choices = [[(c, s) for c, s in o if i == at_check or value(c) >= 0] for i, o in zip(free, choices)]
+    # Dates to test once the last of their searched cells is chosen.
+    due = [[(a, b) for a, b in dates if a <= i < b and not any(a <= j < b for j in free[d + 1 :])] for d, i in enumerate(free)]
+    if any(not plausible_date("".join(c.char for c in cells[a:b])) for a, b in dates if not any(a <= j < b for j in free)):
+        return None
+    # rest[d][r]: the most that cells from d on can add if they make the weighted sum less the check digit r modulo 10.
+    lowest = float("-inf")
+    rest = [[lowest] * 10 for _ in free] + [[0.0] + [lowest] * 9]
+    any_rest = [0.0] * (len(free) + 1)
+    step = lambda i, c: -value(c) if i == at_check else value(c) * (7, 3, 1)[i % 3]
+    for d in range(len(free) - 1, -1, -1):
+        any_rest[d] = any_rest[d + 1] + max((s for _, s in choices[d]), default=lowest)
+        for r in range(10):
+            rest[d][r] = max((s + rest[d + 1][(r - step(free[d], c)) % 10] for c, s in choices[d] if free[d] != at_check or c.isdigit()), default=lowest)
+    best: tuple[float, list[str]] | None = None
+    now = [c.char for c in cells]
+
+    def search(d: int, score: float, total: int, fillers: bool) -> None:
+        nonlocal best
+        # A filler check asks for no sum; while one is possible the bound is the sum of the best scores.
+        open_filler = filler_allowed and fillers and (now[at_check] == "<" or at_check in free[d:])
+        bound = score + (any_rest[d] if open_filler else rest[d][-total % 10])
+        if bound == lowest or best is not None and bound < best[0] - 1e-7:
+            return
+        if d == len(free):
+            fits = fillers and filler_allowed if now[at_check] == "<" else now[at_check].isdigit() and total % 10 == 0
+            if fits and (best is None or score > best[0]):
+                best = score, list(now)
+            return
+        i = free[d]
+        was = now[i]
+        for char, s in choices[d]:
+            now[i] = char
+            if all(plausible_date("".join(now[a:b])) for a, b in due[d]):
+                search(d + 1, score + s, total + step(i, char), fillers and (i == at_check or char == "<"))
+        now[i] = was
+
+    search(0, 0.0, base if at_check in free or not check.char.isdigit() else base - int(check.char), filled)
+    if best is None:
+        return None
+    made = [Cell(c.candidates, c.kind, best[1][i]) if i in free else c for i, c in enumerate(cells)]
+    return made[:-1], made[-1]
