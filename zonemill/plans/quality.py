@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..formats import FIELDS, LINE_COUNT, LINE_LENGTH, TYPES
 from ..operators.parse import CHECKS
 
 
@@ -36,28 +37,86 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.9).alias("p90"))
 
 
+def read_stats(parsed: DataFrame) -> DataFrame:
+    """One row: records, found and valid ones, mean confidence of the found (0 if none), and those with a capture hint in array column ``hints``."""
+    return parsed.agg(
+        F.count("*").alias("files"), F.count_if("mrz.mrz_found").alias("found"), F.count_if("mrz.is_valid").alias("valid"),
+        F.coalesce(F.avg(F.when(F.col("mrz.mrz_found"), F.col("mrz.confidence"))), F.lit(0.0)).alias("confidence"), F.count_if(F.size("hints") > 0).alias("with_hints"),
+    )
+
+
+def _name_field(label: Column) -> Column:
+    """(line, start, length) of the name in the layout of ``label``, null for none."""
+    length, visa = F.length(F.get(label, 0)), F.substring(F.get(label, 0), 1, 1) == "V"
+    out = F.lit(None)
+    for at, kind in enumerate(TYPES):
+        line, start, size = FIELDS["Name"][1][at]
+        fits = (F.size(label) == LINE_COUNT[kind]) & (length == LINE_LENGTH[kind]) & (F.lit(True) if kind == "Td1" else visa if kind.startswith("Mrv") else ~visa)
+        out = F.when(fits, F.struct(F.lit(line).alias("line"), F.lit(start).alias("start"), F.lit(size).alias("length"))).otherwise(out)
+    return out
+
+
+def evaluate_files(labels: DataFrame, reads: DataFrame) -> DataFrame:
+    """A row for each file of ``labels(file, label)``: how ``reads(file, read)`` fits it line by line; both are arrays of lines.
+
+    ``?`` in a label is not counted.  A file without a row in ``reads`` is
+    missing; an empty label means no zone: a file where one is found is a false
+    positive, another is exact.  ``reads`` may have ``found`` (default: any
+    line), ``valid`` and ``composite_conflict`` (default: false).
+    ``perfect``: as many lines as the label, and no counted character wrong.
+    """
+    has = lambda c, other: F.coalesce(F.col(c), other) if c in reads.columns else other
+    got = F.coalesce("read", F.array().cast("array<string>"))
+    said = reads.select("file", got.alias("_got"), has("found", F.size(got) > 0).alias("found"), has("valid", F.lit(False)).alias("valid"), has("composite_conflict", F.lit(False)).alias("composite_conflict"))
+    j = labels.select("file", F.coalesce("label", F.array().cast("array<string>")).alias("_want")).join(said, "file", "left")
+    no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    j = j.select("file", "_want", F.coalesce("_got", F.array().cast("array<string>")).alias("_got"), F.col("_got").isNull().alias("missing"), no("found"), no("valid"), no("composite_conflict"), _name_field(F.col("_want")).alias("_name"))
+
+    def characters(line: Column, row: Column) -> Column:
+        read = F.coalesce(F.get("_got", row), F.lit(""))
+        each = F.transform(
+            F.filter(F.split(line, ""), lambda c: c != ""),
+            lambda c, col: F.struct(
+                c.alias("want"),
+                (F.substring(read, col + 1, F.lit(1)) == c).alias("right"),
+                F.coalesce((row == F.col("_name.line")) & (col >= F.col("_name.start")) & (col < F.col("_name.start") + F.col("_name.length")), F.lit(False)).alias("in_name"),
+            ),
+        )
+        return F.filter(each, lambda x: x["want"] != "?")
+
+    j = j.withColumn("_each", F.flatten(F.transform("_want", characters)))
+    right = F.size(F.filter("_each", lambda x: x["right"]))
+    j = j.withColumns({"characters": F.size("_each").cast("long"), "correct": right.cast("long"), "name_errors": F.when(F.col("missing"), 0).otherwise(F.size(F.filter("_each", lambda x: ~x["right"] & x["in_name"]))).cast("long")})
+    lengths = lambda c: F.transform(c, lambda x: F.length(x))
+    all_right = F.col("correct") == F.col("characters")
+    zone = F.size("_want") > 0
+    exact = ~F.col("missing") & F.when(zone, all_right & (lengths("_want") == lengths("_got"))).otherwise(~F.col("found"))
+    j = j.withColumns({"exact": exact, "perfect": ~F.col("missing") & (F.size("_want") == F.size("_got")) & all_right})
+    return j.select(
+        "file", "missing", "found", "valid", "characters", "correct", "exact", "perfect", "name_errors", "composite_conflict",
+        (~F.col("missing") & zone & ~F.col("exact") & F.col("valid")).alias("wrong_valid"), (~zone & F.col("found")).alias("false_positive"),
+    )
+
+
 def evaluate(labels: DataFrame, reads: DataFrame) -> DataFrame:
-    """One row of metrics of ``reads(file, read)`` against ``labels(file, label)``, arrays of lines.
+    """One row of metrics over ``evaluate_files(labels, reads)``.
 
-    ``?`` in a label is not counted; an empty label means no zone: a read there
-    is a false positive; a label without a read is missing.
+    ``images`` and ``characters`` count all labels; ``images_read`` and
+    ``characters_read`` leave the missing files out.
     """
-    text = lambda c: F.coalesce(F.array_join(c, ""), F.lit(""))
-    j = labels.join(reads, "file", "left").select(text("label").alias("want"), text("read").alias("got"), F.col("read").isNull().alias("missing"))
-    pairs = F.zip_with(F.split("want", ""), F.split("got", ""), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    j = j.withColumn("pairs", F.filter(pairs, lambda p: p["a"].isNotNull() & (p["a"] != "?") & (p["a"] != "")))
-    right = F.size(F.filter("pairs", lambda p: p["a"].eqNullSafe(p["b"])))
-    return j.agg(
-        F.count("*").alias("images"),
-        F.count_if("missing").alias("missing"),
-        F.sum(F.size("pairs")).alias("characters"),
-        F.sum(right).alias("correct"),
-        F.count_if((F.size("pairs") > 0) & (right == F.size("pairs")) & (F.length("want") == F.length("got"))).alias("exact"),
-        F.count_if((F.length("want") == 0) & (F.length("got") > 0)).alias("false_positive"),
-    )
+    count = lambda c: F.count_if(c).alias(c)
+    return evaluate_files(labels, reads).agg(
+        F.count("*").alias("images"), count("missing"), F.count_if(~F.col("missing")).alias("images_read"),
+        F.sum("characters").alias("characters"), F.sum(F.when(F.col("missing"), 0).otherwise(F.col("characters"))).alias("characters_read"), F.sum("correct").alias("correct"),
+        count("exact"), count("false_positive"), count("wrong_valid"), count("found"), count("valid"),
+        F.count_if("composite_conflict").alias("composite_conflicts"), F.sum("name_errors").alias("name_errors"), F.count_if("perfect").alias("perfect_files"),
+    )
 
 
 def regressed(metrics: DataFrame, baseline: DataFrame) -> DataFrame:
-    """One boolean: a metric got worse than the saved one-row baseline."""
-    b = baseline.select(*(F.col(c).alias(f"was_{c}") for c in ("correct", "exact", "missing", "false_positive")))
-    return metrics.join(b).select(F.expr("correct < was_correct or exact < was_exact or missing > was_missing or false_positive > was_false_positive").alias("regressed"))
+    """One boolean: a metric got worse than the saved one-row baseline, other files or characters were read, or files are missing."""
+    names = ("images_read", "characters_read", "correct", "exact", "wrong_valid", "false_positive")
+    b = baseline.select(*(F.col(c).alias(f"was_{c}") for c in names))
+    other = "missing > 0 or images_read = 0 or images_read <> was_images_read or characters_read <> was_characters_read"
+    worse = "correct < was_correct or exact < was_exact or wrong_valid > was_wrong_valid or false_positive > was_false_positive"
+    return metrics.crossJoin(b).select(F.expr(f"{other} or {worse}").alias("regressed"))

@@ -125,10 +125,15 @@ def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG6, AGG13: read lines against their labels; reads are the bridge lines with one character in 50 turned, labels the lines."""
+    """AGG6, AGG13's totals: read lines against their labels; reads are the bridge lines, those of one file in 50 with C turned into G, labels the lines."""
     b = bridge(spark, sf_dir).select(F.col("doc_id").alias("file"), F.split(F.upper("mrz_text"), "\n").alias("label"))
     reads = b.where("file % 7 <> 0").select("file", F.transform("label", lambda x: F.when(F.col("file") % 50 == 0, F.regexp_replace(x, "C", "G")).otherwise(x)).alias("read"))
-    return quality.evaluate(b, reads)
+    checked = parse(reads.withColumn("_text", F.array_join("read", "\n")), "_text")
+    status = F.col("mrz.checks")
+    passed = sum(F.when(status[c] == "Valid", 1).otherwise(0) for c in ("document_number", "birth_date", "expiry_date"))
+    return quality.evaluate(
+        b, checked.select("file", "read", F.col("mrz.mrz_found").alias("found"), F.col("mrz.is_valid").alias("valid"), ((status["composite"] == "Invalid") & (passed >= 2)).alias("composite_conflict"))
+    )
 
 
 def vote_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
