@@ -85,3 +85,33 @@ def test_long_corroboration_and_votes():
     s = Session()
     fold_all([frame(0, "x", False, "KA", 0.8), frame(1, "x", False, "LA", 0.9), {**frame(2, "x"), "mrz_found": False}], s)
     assert s.fused() == ["LA"] and not s.stable
+
+
+def numbered(n, number, valid=False, text=None, **more):
+    return {**frame(n, number, valid, text), "number_valid": True, "issuer": "UTO", "number": number, **more}
+
+
+def test_frames_of_another_number_do_not_vote():
+    s = Session()
+    fold_all([numbered(0, "A", True), numbered(1, "A", True)], s)
+    assert s.stable
+    s.fold(numbered(2, "B", text="BBBB", confidence=0.99))
+    assert not s.stable and [lines for lines, _, _ in s.votes[1, 4]] == [["AAAA"]] * 2 and s.fused() == ["AAAA"]
+    for k, differs in enumerate(({"issuer": "D<<"}, {"doc_type": "MrvA"})):
+        s.fold(numbered(3 + k, "A", **differs))
+        assert len(s.votes[1, 4]) == 2
+    s.fold(numbered(5, "B", text="BBBB", number_valid=False))
+    assert len(s.votes[1, 4]) == 3
+
+
+def test_first_valid_frame_drops_votes_of_another_number():
+    s = Session()
+    fold_all([numbered(0, "B", text="BBBB"), numbered(1, "A", True), numbered(2, "A", True)], s)
+    assert s.stable and s.fused() == ["AAAA"]
+
+
+def test_ragged_frames_do_not_vote():
+    s = Session()
+    fold_all([frame(0, "A"), frame(1, "A")], s)
+    s.fold({**frame(2, "A", False), "lines": ["AAAA", "AAA"]})
+    assert not s.stable and len(s.votes) == 1
