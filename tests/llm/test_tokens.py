@@ -48,6 +48,16 @@ def test_pieces_equal_the_library():
     assert [machine.decode(x) for x in coded] == [t.replace("▁", " ") for t in given]
 
 
+@pytest.mark.parametrize("other", [{"model_type": "unigram"}, {"normalization_rule_name": "nmt_nfkc"}, {"remove_extra_whitespaces": True}, {"add_dummy_prefix": False}])
+def test_other_models_are_refused(tmp_path, other):
+    plain = {"model_type": "bpe", "normalization_rule_name": "identity", "remove_extra_whitespaces": False, "vocab_size": 300, "hard_vocab_limit": False, "byte_fallback": True, "minloglevel": 2}
+    for name, settings in (("plain", plain), ("other", plain | other)):
+        sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(texts(60, 2)), model_prefix=str(tmp_path / name), **settings)
+    Transducer(str(tmp_path / "plain.model"))
+    with pytest.raises(ValueError, match="not supported"):
+        Transducer(str(tmp_path / "other.model"))
+
+
 def test_piece_edges(hard, docs):
     got = encode_decode(hard, PIECE, keep=True).collect()
     assert len(got) == 10 and all(r["round_trip"] for r in got)

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model is compiled into three machines.  The normaliser writes a space as
-U+2581, with one in front of the text.  The piece machine has an arc for every
+The model is compiled into three machines.  The normaliser is fixed: it writes a space
+as U+2581, with one in front of the text; a model that asks for another one, or
+that is not of BPE type, is refused.  The piece machine has an arc for every
 piece, of weight minus its score, and a byte arc for every character that no
 piece covers.  The merge machine reads two neighbouring pieces: its arc has
 weight 0 if merging, applied to the two alone, leaves them apart, and infinite
@@ -37,6 +38,51 @@ PAIRS = 1_500_000
 SLICE = 512
 
 
+def _fields(blob: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Field numbers and values of one protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = blob[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    while at < len(blob):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if key & 7 == 2 else {1: 8, 5: 4}[key & 7]
+        yield key >> 3, blob[at : at + size]
+        at += size
+
+
+def refuse_others(model: bytes) -> None:
+    """Raises for a model that the machines here would encode otherwise than the library does."""
+    parts = dict(x for x in _fields(model) if x[0] in (2, 3))
+    trainer, normaliser = dict(_fields(parts.get(2, b""))), dict(_fields(parts.get(3, b"")))
+    why = [
+        what
+        for what, bad in (
+            ("its type is not BPE", trainer.get(3, 1) != 2),
+            ("a space may be a suffix", trainer.get(24, 0)),
+            ("its normaliser maps characters", normaliser.get(2, b"")),
+            ("it adds no space in front", not normaliser.get(3, 1)),
+            ("it removes extra spaces", normaliser.get(4, 1)),
+            ("it leaves spaces as they are", not normaliser.get(5, 1)),
+        )
+        if bad
+    ]
+    if why:
+        raise ValueError(f"this model is not supported: {', '.join(why)}")
+
+
 class Transducer(UnitCache):
     _own: dict[str, Transducer] = {}
 
@@ -51,6 +97,7 @@ class Transducer(UnitCache):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        refuse_others(model.serialized_model_proto())
         size = model.get_piece_size()
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(size)]
         self.ids: dict[str, int] = {}
