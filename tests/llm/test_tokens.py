@@ -77,6 +77,12 @@ def test_repair_round_trip():
             assert len(shard.symbols) < sum(map(len, made)) * 0.7
 
 
+def test_repair_goes_on_until_no_pair_repeats_often():
+    run = np.full(1 << 14, 5, dtype=np.uint32)
+    shard = Shard(pack_shard([1], [run], 49408))
+    assert len(shard.symbols) < 16 and np.array_equal(shard.document(0), run)
+
+
 def test_store(spark, hard, docs, word):
     path = store_path(spark)
     write_tokens(hard, path, WORD)

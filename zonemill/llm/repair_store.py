@@ -33,23 +33,24 @@ MAGIC = b"ZMRP0001"
 HEAD = struct.Struct("<8sIIIII")
 #: Ids after which a shard is closed; a longer document makes a longer shard.
 SHARD_IDS = 1_000_000
-#: Replacement rounds, and the least count of a pair that earns a rule.
-ROUNDS, LEAST = 8, 6
+#: The least count of a pair that earns a rule: a rule takes 8 bytes and each use saves 2.
+LEAST = 6
 _SLOTS = 20
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in rounds: (symbols, rules of two symbols each, last-of-document flags).
 
     A round replaces every pair that occurs ``least`` times or more, the more
     frequent one where two overlap and the left one in a tie; pairs that lose
-    are counted anew in the next round.  ``ends`` flags the last id of each
+    are counted anew in the next round, until none is left or the numbers of rules
+    are used up.  ``ends`` flags the last id of each
     document, which never starts a pair.
     """
     symbols, last = ids.astype(np.uint32), ends.copy()
     rules: list[np.ndarray] = []
     made = first
-    for _ in range(rounds):
+    while True:
         room = 65536 - made
         if len(symbols) < 2 or room <= 0:
             break
