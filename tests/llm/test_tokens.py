@@ -5,13 +5,15 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from zonemill.llm import tokens
 from zonemill.llm.packing import Prices, best_cuts, cut_points, pack
 from zonemill.llm.repair_store import Shard, pack_shard, read_tokens, store_path, write_tokens
-from zonemill.llm.spiece import Transducer, encode_decode
+from zonemill.llm.spiece import Normaliser, PieceMachine, Transducer, encode_decode
 from zonemill.llm.tokens import UnitEncoder
 
 from .conftest import HARD
@@ -37,25 +39,59 @@ def want(word):
 def test_units_equal_the_library(word):
     enc = UnitEncoder(WORD)
     given = texts(3000, 1)
-    assert [list(x) for x in enc.encode(given)] == [e.ids for e in word.encode_batch(given, add_special_tokens=False)]
+    assert [list(x) for x in enc.encode(pa.array(given))] == [e.ids for e in word.encode_batch(given, add_special_tokens=False)]
 
 
 def test_pieces_equal_the_library():
     machine, model = Transducer(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
     given = texts(3000, 2)
-    coded = machine.encode(given)
+    coded = machine.encode(pa.array(given))
     assert [list(x) for x in coded] == model.encode(given)
     assert [machine.decode(x) for x in coded] == [t.replace("▁", " ") for t in given]
 
 
-@pytest.mark.parametrize("other", [{"model_type": "unigram"}, {"normalization_rule_name": "nmt_nfkc"}, {"remove_extra_whitespaces": True}, {"add_dummy_prefix": False}])
-def test_other_models_are_refused(tmp_path, other):
-    plain = {"model_type": "bpe", "normalization_rule_name": "identity", "remove_extra_whitespaces": False, "vocab_size": 300, "hard_vocab_limit": False, "byte_fallback": True, "minloglevel": 2}
-    for name, settings in (("plain", plain), ("other", plain | other)):
-        sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(texts(60, 2)), model_prefix=str(tmp_path / name), **settings)
-    Transducer(str(tmp_path / "plain.model"))
-    with pytest.raises(ValueError, match="not supported"):
-        Transducer(str(tmp_path / "other.model"))
+def message(number, *fields):
+    """One embedded protocol buffer message of (number, value) fields."""
+    body = b"".join(bytes([n << 3 | 0, v]) if isinstance(v, int) else bytes([n << 3 | 2, len(v)]) + v for n, v in fields)
+    return bytes([number << 3 | 2, len(body)]) + body
+
+
+def test_normaliser_is_read_or_refused():
+    plain = {2: b"", 3: 1, 4: 0, 5: 1}
+    build = lambda kind=2, **other: message(2, (3, kind)) + message(3, *(plain | {int(k[1:]): v for k, v in other.items()}).items())
+    made = Normaliser(build())
+    assert made.kind == 2 and made.start == " " and made.unit(" a b") == "▁a▁b"
+    assert Normaliser(build(_3=0)).start == "" and Normaliser(build(1)).kind == 1
+    for bad in (build(3), build(_2=b"map"), build(_4=1), build(_5=0)):
+        with pytest.raises(ValueError, match="not supported"):
+            Normaliser(bad)
+
+
+def segmentations(text, pieces):
+    if not text:
+        yield []
+    for j in range(1, len(text) + 1):
+        if text[:j] in pieces or (j == 1 and text[0] not in pieces):
+            yield from ([text[:j], *rest] for rest in segmentations(text[j:], pieces))
+
+
+@pytest.mark.parametrize("merges", [False, True])
+def test_paths_are_the_lightest(merges):
+    rng = random.Random(5)
+    for _ in range(30):
+        names = {"a", "b", "c"} | {"".join(rng.choice("abc") for _ in range(rng.randint(2, 4))) for _ in range(8)}
+        scores = rng.sample(range(100), len(names))
+        pieces = {p: (256 + k, -float(s)) for k, (p, s) in enumerate(zip(sorted(names), scores))}
+        machine = PieceMachine(pieces, {b: b for b in range(256)}, merges)
+        units = ["".join(rng.choice("abcx") for _ in range(rng.randint(1, 8))) for _ in range(25)]
+        for unit, got in zip(units, machine.shortest_paths(units)):
+            spelled = [machine.text_of[i] if i >= 256 else chr(i) for i in got]
+            assert "".join(spelled) == unit
+            if merges:
+                assert spelled == machine.merged(unit)
+            else:
+                cost = lambda path: sum(machine.weight.get(p, machine.byte_weight) for p in path)
+                assert cost(spelled) == min(map(cost, segmentations(unit, pieces)))
 
 
 def test_piece_edges(hard, docs):
@@ -77,6 +113,28 @@ def test_repair_round_trip():
             assert len(shard.symbols) < sum(map(len, made)) * 0.7
 
 
+def test_wide_ids_and_many_rules():
+    rng = np.random.default_rng(4)
+    made = [rng.choice([70000, 90000, 5], 300).astype(np.uint32) for _ in range(20)]
+    shard = Shard(pack_shard(list(range(20)), made, 100_000))
+    assert all(np.array_equal(shard.document(i), d) for i, d in enumerate(made)) and len(shard.rules)
+    full = [rng.integers(0, 40, 3000).astype(np.uint32) for _ in range(20)]
+    few, many = (Shard(pack_shard(list(range(20)), full, first)) for first in (100, 65_530))
+    assert len(few.rules) == len(many.rules) > 6  # rules go on beyond 65,536 symbols
+    assert all(np.array_equal(many.document(i), d) for i, d in enumerate(full))
+    with pytest.raises(ValueError, match="not below"):
+        pack_shard([1], [np.array([70000], dtype=np.uint32)], 49408)
+
+
+def test_store_grows_and_forgets(word, monkeypatch):
+    for name, most in (("MOST_UNITS", 60), ("MOST_BYTES", 500)):
+        monkeypatch.setattr(tokens, name, most)
+    enc, given = UnitEncoder(WORD), texts(400, 6)
+    for lo in range(0, 400, 40):
+        part = given[lo : lo + 40] + given[:5]
+        assert [list(x) for x in enc.encode(pa.array(part))] == [e.ids for e in word.encode_batch(part, add_special_tokens=False)]
+
+
 def test_repair_goes_on_until_no_pair_repeats_often():
     run = np.full(1 << 14, 5, dtype=np.uint32)
     shard = Shard(pack_shard([1], [run], 49408))

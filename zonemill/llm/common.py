@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Callable, Hashable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,22 @@ BITS = 32768
 MAX_BUCKETS = 4096
 
 
+T = TypeVar("T")
+_STATE: list = []
+
+
+def worker_state(key: Hashable, make: Callable[[], T]) -> T:
+    """The state that this Python worker holds under ``key``.
+
+    A worker serves one operator after another and holds the state of one only:
+    another key drops the state held before it makes its own.
+    """
+    if not _STATE or _STATE[0] != key:
+        _STATE.clear()
+        _STATE.extend((key, make()))
+    return _STATE[1]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .repair_store import in_order
-from .tokens import END_FLAG, SLICE, UnitEncoder
+from .tokens import END_FLAG, UnitEncoder, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
 
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, pri
     what the last sequence of a buffer holds goes on to the next buffer.
 
     * a null or empty text is the end id alone; repeated ids are documents of
-      their own; null ids come first
+      their own, in the order of a hash of their texts; null ids come first
     * a document of any length is cut over as many sequences as it needs
     * ``sequence_id`` is unique (the partition in its upper bits), pieces of a
       sequence follow each other by ``offset``; an empty table gives no rows
@@ -163,9 +163,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, pri
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(lo, SLICE)
-                for doc, ids in zip(piece["doc_id"].to_pylist(), encoder.flagged(piece["text"].to_pylist())):
+            known = batch["doc_id"].to_pylist()
+            for lo, texts in slices(batch["text"]):
+                for doc, ids in zip(known[lo:], encoder.flagged(texts)):
                     whole = np.concatenate((ids, end))
                     held.append((doc, 0, len(whole), whole))
                     count += len(whole)

@@ -3,7 +3,8 @@
 A shard is the ids of consecutive documents, about ``SHARD_IDS`` of them, as one
 self-contained blob.  Frequent adjacent symbol pairs are replaced by new symbols
 (nonterminals) again and again; the blob holds the rules, each rule's expansion
-length, where every document starts among the symbols, and the symbols.  One
+length, where every document starts among the symbols, and the symbols (of two bytes, or of
+four where a shard needs more than 65,536).  One
 document is decoded by expanding its own symbols only, since no rule crosses
 the end of a document.
 
@@ -27,110 +28,142 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .tokens import SLICE, UnitEncoder
+from .tokens import UnitEncoder, runs, slices
 
-MAGIC = b"ZMRP0001"
+MAGIC = b"ZMRP0002"
 HEAD = struct.Struct("<8sIIIII")
 #: Ids after which a shard is closed; a longer document makes a longer shard.
-SHARD_IDS = 1_000_000
+SHARD_IDS = 400_000
 #: The least count of a pair that earns a rule: a rule takes 8 bytes and each use saves 2.
 LEAST = 6
 _SLOTS = 20
-
-
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair in rounds: (symbols, rules of two symbols each, last-of-document flags).
-
-    A round replaces every pair that occurs ``least`` times or more, the more
-    frequent one where two overlap and the left one in a tie; pairs that lose
-    are counted anew in the next round, until none is left or the numbers of rules
-    are used up.  ``ends`` flags the last id of each
-    document, which never starts a pair.
+_U64 = np.uint64
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    """A number of ``_SLOTS`` bits for each pair of symbols."""
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(2654435761)) >> np.uint32(32 - _SLOTS)
+    return (keys * _U64(0x9E3779B97F4A7C15)) >> _U64(64 - _SLOTS)
+
+
+def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts) of the keys that occur ``least`` times or more; only keys of well-filled slots are sorted."""
+    slots = _slot(keys)
+    full = np.bincount(slots, minlength=1 << _SLOTS) >= least
+    ordered = np.sort(keys[full[slots]])
+    if not len(ordered):
+        return ordered, np.zeros(0, dtype=np.int64)
+    at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    counts = np.diff(np.append(at, len(ordered)))
+    often = counts >= least
+    return ordered[at[often]], counts[often]
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair in rounds: (symbols, rules of two symbols each, expansion lengths of the rules, last-of-document flags).
+
+    A round replaces every pair that occurs ``least`` times or more; of pairs that
+    overlap, the more frequent one, and every other one of a run of equal pairs.
+    A pair can only become frequent where a symbol is new, so a round counts the
+    places beside new symbols and those that lost an overlap in the round before.
+    It ends when no pair occurs ``least`` times.  ``ends`` flags the last id of
+    each document, which never starts a pair.
     """
+    n = len(ids)
     symbols, last = ids.astype(np.uint32), ends.copy()
-    rules: list[np.ndarray] = []
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    alive = np.ones(n, dtype=bool)
+    marked = np.zeros(n + 1, dtype=bool)
+    rank = np.zeros(n + 1, dtype=np.int32)  # of the pair at a place, 0 where there is none
+    table = np.zeros(1 << _SLOTS, dtype=np.int32)
+    rules, lengths = [np.zeros((0, 2), dtype=np.uint32)], np.ones(first, dtype=np.int64)
     made = first
-    while True:
-        room = 65536 - made
-        if len(symbols) < 2 or room <= 0:
-            break
-        keys = (symbols[:-1] << np.uint32(16)) | symbols[1:]
-        free = ~last[:-1]
-        sorted_keys = np.sort(keys[free])
-        if not len(sorted_keys):
-            break
-        at = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
-        counts = np.diff(np.append(at, len(sorted_keys)))
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
-            break
-        if len(often) > room:
-            often = often[np.sort(np.argsort(-counts[often], kind="stable")[:room])]
-        pairs, counts = sorted_keys[at[often]], counts[often]
-        slot = (pairs * np.uint32(2654435761)) >> np.uint32(32 - _SLOTS)
-        table = np.full(1 << _SLOTS, -1, dtype=np.int32)
-        order = np.argsort(counts, kind="stable")  # a more frequent pair takes a slot that two share
-        table[slot[order]] = order
-        found = table[(keys * np.uint32(2654435761)) >> np.uint32(32 - _SLOTS)]
-        hit = np.flatnonzero((found >= 0) & free)
-        hit = hit[pairs[found[hit]] == keys[hit]]
-        # Of overlapping pairs, the more frequent; equal ones alternate from the left.
-        weight = np.zeros(len(keys) + 2, dtype=np.int64)
-        weight[hit + 1] = counts[found[hit]]
-        here, before, after = weight[hit + 1], weight[hit], weight[hit + 2]
-        wins = (here > before) & (here >= after)
-        tied = (here == before) & (here >= after)
-        if tied.any():
-            run = np.flatnonzero(wins | tied)
-            parity = np.zeros(len(hit), dtype=np.int64)
-            starts = np.maximum.accumulate(np.where(tied, -1, np.arange(len(hit))))
-            parity[run] = (run - starts[run]) & 1
-            wins = (wins | (tied & (starts >= 0))) & (parity == 0)
-            chosen = hit[wins]
-            clash = np.concatenate(([False], np.diff(chosen) == 1))
-            chosen = chosen[~clash]
+    at = np.flatnonzero(~last[:-1]) if n else np.zeros(0, dtype=np.int64)
+    while len(at):
+        if made <= 65536:
+            keys = (symbols[at] << np.uint32(16)) | symbols[after[at]]
         else:
-            chosen = hit[wins]
-        if not len(chosen):
+            keys = (symbols[at].astype(_U64) << _U64(32)) | symbols[after[at]]
+        pairs, counts = _frequent(keys, least)
+        if not len(pairs):
             break
-        used, index = np.unique(found[chosen], return_inverse=True)
-        rules.append(np.stack((pairs[used] >> np.uint32(16), pairs[used] & np.uint32(0xFFFF)), axis=1))
-        symbols[chosen] = (made + index).astype(np.uint32)
-        last[chosen] = last[chosen + 1]
-        keep = np.ones(len(symbols), dtype=bool)
-        keep[chosen + 1] = False
-        symbols, last = symbols[keep], last[keep]
+        slots = _slot(pairs)
+        table[slots] = np.arange(1, len(pairs) + 1)
+        found = table[_slot(keys)]
+        table[slots] = 0
+        hit = np.flatnonzero(found)
+        where, which, keys = at[hit], found[hit] - 1, keys[hit]
+        other = np.flatnonzero(pairs[which] != keys)  # two pairs in one slot, or a rare pair
+        which[other] = np.minimum(np.searchsorted(pairs, keys[other]), len(pairs) - 1)
+        right = pairs[which] == keys
+        where, which = where[right], which[right]
+        lost = where
+        # Every other one of a run of equal pairs that overlap.
+        linked = np.concatenate(([False], (after[where[:-1]] == where[1:]) & (which[:-1] == which[1:])))
+        if linked.any():
+            starts = np.maximum.accumulate(np.where(linked, 0, np.arange(len(where))))
+            even = ((np.arange(len(where)) - starts) & 1) == 0
+            where, which = where[even], which[even]
+        place = np.empty(len(pairs), dtype=np.int32)
+        place[np.argsort(counts, kind="stable")] = np.arange(1, len(pairs) + 1)
+        own = place[which]
+        rank[where] = own
+        wins = (own > rank[before[where]]) & (own > rank[after[where]])
+        rank[where] = 0
+        chosen, which = where[wins], which[wins]
+        flags = np.zeros(len(pairs), dtype=np.int32)
+        flags[which] = 1
+        index = np.cumsum(flags)
+        used = pairs[flags == 1]
+        if used.dtype == np.uint32:
+            rule = np.stack((used >> np.uint32(16), used & np.uint32(0xFFFF)), axis=1)
+        else:
+            rule = np.stack((used >> _U64(32), used & _U64(0xFFFFFFFF)), axis=1).astype(np.uint32)
+        lengths = np.concatenate((lengths, lengths[rule[:, 0]] + lengths[rule[:, 1]]))
+        rules.append(rule)
+        gone = after[chosen]
+        symbols[chosen] = made - 1 + index[which]
+        last[chosen] = last[gone]
+        alive[gone] = False
+        follow = after[gone]
+        after[chosen] = follow
+        inner = follow < n
+        before[follow[inner]] = chosen[inner]
         made += len(used)
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
-    return symbols, table, last
-
-
-def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
-    lengths = np.ones(first + len(rules), dtype=np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[first + k] = lengths[a] + lengths[b]
-    return lengths[first:]
+        # Next: beside new symbols, and what lost an overlap.
+        marked[lost] = marked[chosen] = marked[before[chosen]] = True
+        marked[n] = False  # the place before the first
+        at = np.flatnonzero(marked)
+        marked[at] = False
+        at = at[alive[at] & ~last[at]]
+    return symbols[alive], np.concatenate(rules), lengths[first:], last[alive]
 
 
 def pack_shard(doc_ids: list[int | None], docs: list[np.ndarray], first: int) -> bytes:
-    """A blob of the ids of some documents, each of at least one id below ``first`` (at most 65535)."""
+    """A blob of the ids of some documents, each of at least one id below ``first``; an id from ``first`` on raises ValueError."""
     sizes = np.array([len(d) for d in docs], dtype=np.uint32)
     ids = np.concatenate(docs) if docs else np.zeros(0, dtype=np.uint32)
+    if len(ids) and int(ids.max()) >= first:
+        raise ValueError(f"id {int(ids.max())} is not below {first}")
+    if len(sizes) and not sizes.min():
+        raise ValueError("a document without ids cannot be stored")
     ends = np.zeros(len(ids), dtype=bool)
     ends[np.cumsum(sizes, dtype=np.int64) - 1] = True
-    symbols, rules, last = compress(ids, ends, first)
+    symbols, rules, lengths, last = compress(ids, ends, first)
     offsets = np.concatenate(([0], np.flatnonzero(last) + 1)).astype("<u4")
     known = [0 if d is None else d for d in doc_ids]
+    width = 2 if first + len(rules) <= 65536 else 4
     return b"".join(
         (
-            HEAD.pack(MAGIC, len(docs), len(rules), len(symbols), first, 2),
+            HEAD.pack(MAGIC, len(docs), len(rules), len(symbols), first, width),
             np.array(known, dtype="<i8").tobytes(),
             np.array([d is None for d in doc_ids], dtype="u1").tobytes(),
             offsets.tobytes(),
             sizes.astype("<u4").tobytes(),
-            rules.astype("<u2").tobytes(),
-            expansion_lengths(rules, first).astype("<u4").tobytes(),
-            symbols.astype("<u2").tobytes(),
+            rules.astype(f"<u{width}").tobytes(),
+            lengths.astype("<u4").tobytes(),
+            symbols.astype(f"<u{width}").tobytes(),
         )
     )
 
@@ -140,7 +173,7 @@ class Shard:
 
     def __init__(self, blob: bytes) -> None:
         magic, n, r, s, self.first, width = HEAD.unpack_from(blob)
-        if magic != MAGIC or width != 2:
+        if magic != MAGIC or width not in (2, 4):
             raise ValueError("not a token shard")
         at = HEAD.size
 
@@ -153,23 +186,27 @@ class Shard:
         ids, nulls = take("<i8", n), take("u1", n)
         self.doc_ids = [None if z else int(d) for d, z in zip(ids, nulls)]
         self.offsets, self.sizes = take("<u4", n + 1), take("<u4", n)
-        self.rules = take("<u2", 2 * r).reshape(r, 2)
-        lengths = take("<u4", r)
-        self.symbols = take("<u2", s)
-        self.lengths = np.concatenate((np.ones(self.first, dtype=np.int64), lengths.astype(np.int64)))
-        self.base = np.concatenate((np.arange(self.first), self.first + np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))[:-1]))
-        self.pool = np.arange(self.first + int(lengths.sum(dtype=np.int64)), dtype=np.uint32)
-        base, size = self.base.tolist(), self.lengths.tolist()
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            to = base[self.first + k]
-            self.pool[to : to + size[a]] = self.pool[base[a] : base[a] + size[a]]
-            self.pool[to + size[a] : to + size[a] + size[b]] = self.pool[base[b] : base[b] + size[b]]
+        self.rules = take(f"<u{width}", 2 * r).reshape(r, 2)
+        lengths = take("<u4", r).astype(np.int64)
+        self.symbols = take(f"<u{width}", s)
+        self.lengths = np.concatenate((np.ones(self.first, dtype=np.int64), lengths))
+        self.base = np.concatenate((np.arange(self.first), self.first + np.cumsum(lengths) - lengths))
+        self.pool = np.arange(self.first + int(lengths.sum()), dtype=np.uint32)
+        # Rules in the order in which their parts are known: a rule's parts come from rounds before its own.
+        ready, left = np.arange(self.first + r) < self.first, np.arange(r)
+        while len(left):
+            now = ready[self.rules[left, 0]] & ready[self.rules[left, 1]]
+            these, left = left[now], left[~now]
+            if not len(these):
+                raise ValueError("rules of a token shard refer to themselves")
+            to = self.base[self.first + these]
+            for part in (self.rules[these, 0], self.rules[these, 1]):
+                self.pool[runs(to, self.lengths[part])] = self.pool[runs(self.base[part], self.lengths[part])]
+                to = to + self.lengths[part]
+            ready[self.first + these] = True
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        lengths = self.lengths[symbols]
-        total = int(lengths.sum())
-        starts = np.cumsum(lengths) - lengths
-        return self.pool[np.repeat(self.base[symbols] - starts, lengths) + np.arange(total)]
+        return self.pool[runs(self.base[symbols], self.lengths[symbols])]
 
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.symbols[self.offsets[i] : self.offsets[i + 1]])
@@ -187,9 +224,14 @@ READ = "part int, seq int, doc_id long, start long, n_tokens long, ids_crc32 lon
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text) range-partitioned and sorted by id, null ids first and equal ids by text; null text is empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    """(doc_id, text) range-partitioned and sorted by id, null ids first; null text is empty.
+
+    Rows of one id are ordered by a hash of their text, so that many equal or
+    null ids are still dealt over several partitions.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    return rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -220,9 +262,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
             return out
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(lo, SLICE)
-                for doc, ids in zip(piece["doc_id"].to_pylist(), encoder.encode(piece["text"].to_pylist())):
+            known = batch["doc_id"].to_pylist()
+            for lo, texts in slices(batch["text"]):
+                for doc, ids in zip(known[lo:], encoder.encode(texts)):
                     names.append(doc)
                     held.append(np.concatenate((ids, end)))
                     count += len(held[-1])
