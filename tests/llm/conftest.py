@@ -9,7 +9,7 @@ def docs(spark):
         rows = [(*r, *[None] * (3 - len(r))) for r in rows]
         df = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
         if extra:
-            for c in ("id", "key", "_hash", "_hit", "found", "a", "b", "start", "component", "stratum"):
+            for c in ("id", "key", "_hash", "_hit", "found", "a", "b", "start", "component", "stratum", "_bucket", "_at", "_len", "_id", "_sha", "row", "gone", "ID2"):
                 from pyspark.sql import functions as F
 
                 df = df.withColumn(c, F.lit("x"))

@@ -33,14 +33,16 @@ def worker_state(key: Hashable, make: Callable[[], T]) -> T:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    ``spark.checkpoint.dir`` of the session wins; only a session without it
-    (a local test) gets a temporary folder of its own.
+    Only where all run in one process on one machine (a local test) may it be
+    unset, and is then a temporary folder; anywhere else that raises.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="zonemill-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -91,14 +93,34 @@ def in_bitmap(df: DataFrame, key: Column, bits: DataFrame, buckets: int) -> Data
     )
 
 
+#: A key is hot if it has more than one in so many of all rows; so many keys are hot at most.
+HOT = 1000
+
+
+def spread(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``right``, whose keys are unique and whose column ``weight`` counts the rows of ``left`` that a key has.
+
+    Keys with more than ``total / HOT`` rows are ``HOT`` at most, whatever the input,
+    and are joined by broadcast; no other key is more than that share of a shuffle.
+    """
+    hot = right.where(F.col(weight) * HOT > total)
+    cold = right.where(F.col(weight) * HOT <= total)
+    return left.join(F.broadcast(hot), keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column ``row``: helper columns beside it clash with none of its own."""
+    return docs.select(F.struct("*").alias("row"))
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is not in ``ids`` (one column, not null), all columns as they are.
 
     Only rows that hit the bitmap of ``ids`` are shuffled; the others pass.
     """
-    ids = ids.toDF("_gone").distinct()
-    bits, buckets = bitmap_of(ids, "_gone")
-    marked = in_bitmap(docs, F.col(id_col).cast("long"), bits, buckets)
-    passed = marked.where("not _hit").drop("_hit")
-    checked = marked.where("_hit").drop("_hit").join(ids, F.col(id_col) == F.col("_gone"), "left_anti")
-    return passed.unionByName(checked)
+    ids = ids.toDF("gone").distinct()
+    bits, buckets = bitmap_of(ids, "gone")
+    marked = in_bitmap(wrapped(docs), F.col("row")[id_col].cast("long"), bits, buckets)
+    passed = marked.where("not _hit").select("row")
+    checked = marked.where("_hit").join(ids, F.col("row")[id_col] == F.col("gone"), "left_anti").select("row")
+    return passed.unionByName(checked).select("row.*")

@@ -9,17 +9,19 @@ DataFrame functions only.  Three steps, none of which gathers a group:
    ``min(text) = max(text)`` for each hash, so that a group of any size ships
    two texts from each map task;
 3. groups that fail the comparison (a collision) are split by the bytes
-   themselves; the others by the hash.
+   themselves; the others by the hash.  Rows outside the bitmap are groups of
+   their own and take no part; groups that hold more than a thousandth of all
+   rows meet their best row by broadcast, the others by a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, cut, in_bitmap
+from .common import bitmap_of, cut, in_bitmap, spread, wrapped
 
 #: The characters that equality ignores: space and U+0009 to U+000D.
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -61,69 +63,65 @@ def exact_groups(
             F.monotonically_increasing_id().alias("_row"),
         )
     )
+    total = rows.count()
     twice = rows.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
     bits, buckets = bitmap_of(twice, "_hash")
     again = base.select("_norm", content_hash(F.col("_norm")).alias("_hash"))
-    compared = (
+    collided = cut(
         in_bitmap(again, F.col("_hash"), bits, buckets)
         .where("_hit")
         .groupBy("_hash")
         .agg(F.min("_norm").alias("_low"), F.max("_norm").alias("_high"))
         .where("_low <> _high")
-        .select("_hash")
+        .select("_hash", F.lit(True).alias("_split"))
     )
-    collided = cut(compared)
-    key = ["_hash"]
+    rows = rows.withColumn("_key", F.col("_hash"))
     if not collided.isEmpty():
-        # Equal digests under one hash would still be told apart by the bytes: the group key is the text itself.
-        exact = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), norm.alias("_norm")).select(
+        # Under a hash that texts collide in, the key of a group is hash and text.
+        exact = base.select(
             "doc_id",
             content_hash(F.col("_norm")).alias("_hash"),
             F.sha2(F.col("_norm"), 256).alias("text_sha256"),
             F.char_length(F.coalesce("_text", F.lit(""))).alias("_len"),
             F.monotonically_increasing_id().alias("_row"),
             "_norm",
-        )
-        rows = cut(
-            exact.join(collided.withColumn("_split", F.lit(True)), "_hash", "left").withColumn(
-                "_norm", F.when(F.col("_split"), F.col("_norm"))
-            ).drop("_split")
-        )
-        key = ["_hash", "_norm"]
+        ).join(collided, "_hash", "left")
+        rows = cut(exact.withColumn("_key", F.when(F.col("_split"), F.concat("_hash", F.lit("|"), "_norm")).otherwise(F.col("_hash"))).drop("_norm", "_split"))
     order = F.struct((-F.col("_len")).alias("l"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
-    best = rows.groupBy(*key).agg(F.min(order).alias("_best"), F.count("*").alias("group_size"))
-    if len(key) > 1:
-        best = best.select(F.col("_hash").alias("_h2"), F.col("_norm").alias("_n2"), "_best", "group_size")
-        joined = rows.join(best, (F.col("_hash") == F.col("_h2")) & F.col("_norm").eqNullSafe(F.col("_n2")))
-    else:
-        joined = rows.join(best, "_hash")
-    return joined.select(
+    marked = in_bitmap(rows, F.col("_hash"), bits, buckets)
+    several = marked.where("_hit").drop("_hit")
+    best = several.groupBy("_key").agg(F.min(order).alias("_best"), F.count("*").alias("group_size"))
+    grouped = spread(several, best, ["_key"], "group_size", total).select(
         "doc_id",
         F.col("_best.d").alias("keep_id"),
-        F.col("group_size").cast("long").alias("group_size"),
+        "group_size",
         (F.col("_row") == F.col("_best.r")).alias("kept"),
         "text_sha256",
     )
+    # A hash outside the bitmap occurs once: its row is its group.
+    alone = marked.where("not _hit").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    return alone.unionByName(grouped)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` drops, all columns as they are.
 
     Only rows whose id hits the bitmap of dropped ids are shuffled.  Of rows
-    that share id and text, as many stay as are kept: one or none.
+    that share id and text (without white space), the one with the longest text stays if
+    their group keeps that id, else none; they are combined on the map side,
+    so that no task holds a row repeated many times.
+
+    * null texts count as empty and null ids as one id; very long texts are compared by their SHA-256
+    * an empty table gives an empty result; names of other columns do not matter
     """
     verdict = cut(exact_groups(docs, id_col, text_col))
-    gone = verdict.where("not kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_gone")).distinct()
-    bits, buckets = bitmap_of(gone, "_gone")
-    marked = in_bitmap(docs, F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")), bits, buckets)
-    stay = verdict.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count_if("kept").alias("_stay"))
-    hit = marked.where("_hit").withColumns({"_digest": F.sha2(without_spaces(F.col(text_col)), 256), "_len": F.char_length(F.coalesce(text_col, F.lit("")))})
-    # Rows of one id and one text: as many as the table repeats a row.
-    rank = F.row_number().over(Window.partitionBy(id_col, "_digest").orderBy(F.desc("_len"), text_col))
-    checked = (
-        hit.withColumn("_rank", rank)
-        .join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")))
-        .where("_rank <= _stay")
-        .select(*docs.columns)
-    )
-    return marked.where("not _hit").select(*docs.columns).unionByName(checked)
+    gone = verdict.where("not kept").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("gone")).distinct()
+    bits, buckets = bitmap_of(gone, "gone")
+    row = F.col("row")
+    marked = in_bitmap(wrapped(docs), F.coalesce(row[id_col].cast("long"), F.lit(-1).cast("long")), bits, buckets)
+    stay = verdict.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")).distinct()
+    text = F.coalesce(row[text_col], F.lit(""))
+    hit = marked.where("_hit").groupBy(row[id_col].alias("id"), F.sha2(without_spaces(row[text_col]), 256).alias("sha"))
+    one = hit.agg(F.max_by("row", F.struct(F.char_length(text).alias("n"), text.alias("t"))).alias("row"))
+    checked = one.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("sha") == F.col("stay_sha"))).select("row")
+    return marked.where("not _hit").select("row").unionByName(checked).select("row.*")

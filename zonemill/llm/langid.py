@@ -16,25 +16,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, worker_state
 
-#: Training reads about this many labelled rows, chosen by a hash of the id; the model never depends on more.
-SAMPLE_ROWS = 20_000
-#: The model keeps the most frequent words and n-grams, so that it can be broadcast whatever the sample.
-MAX_WORDS, MAX_GRAMS, LONGEST = 100_000, 60_000, 4
+#: Training reads about this many labelled rows, chosen by a hash of the id; the model holds every word and n-gram of
+#: them, so its size is bounded by this sample whatever the table.
+SAMPLE_ROWS = 10_000
+#: Characters of the longest n-gram.
+LONGEST = 4
 #: Scored words that a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters; number-like characters such as ½ are none."""
+    words = _WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in ([w] if w.isalpha() else _LETTERS.findall(w))]
 
 
 def grams_of(word: str) -> Iterator[str]:
@@ -46,9 +53,13 @@ def grams_of(word: str) -> Iterator[str]:
 
 @dataclass
 class Model:
+    """Words and n-grams, each joined by line feeds, and their log frequencies in the order of ``langs``."""
+
     langs: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
+    words: str
+    word_rows: np.ndarray
+    grams: str
+    gram_rows: np.ndarray
 
 
 def held_out(id_col: Column) -> Column:
@@ -93,20 +104,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     # Read three times below, counted once.
     counts = cut(labelled.mapInArrow(count, "lang string, kind string, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")))
-    items = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     sizes = {(r["kind"], r["lang"]): r["n"] for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for _, lang in sizes})
+    in_lang = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k, lang in enumerate(langs)]
+    items = counts.groupBy("kind", "item").agg(F.count("*").alias("in"), *in_lang)
 
-    def table(kind: str, limit: int) -> dict[str, tuple[float, ...]]:
-        top = items.where(F.col("kind") == kind).orderBy(F.desc("total"), "item").limit(limit).select("item", "by").toArrow()
-        floor = {lang: math.log(0.5 / (sizes.get((kind, lang), 0) + 1)) for lang in langs}
-        out = {}
-        for item, by in zip(top["item"].to_pylist(), top["by"].to_pylist()):
-            n = dict(by)
-            out[item] = tuple(math.log(n[lang] / sizes[kind, lang]) if lang in n else floor[lang] for lang in langs)
-        return out
+    def table(kind: str) -> tuple[str, np.ndarray]:
+        found = items.where(F.col("kind") == kind).toArrow()
+        names = found["item"].to_pylist()
+        rows = np.empty((len(names), len(langs)), dtype=np.float32)
+        for k, lang in enumerate(langs):
+            n = found[f"n_{k}"].to_numpy()
+            rows[:, k] = np.log(np.maximum(n, 0.5) / (sizes.get((kind, lang), 0) + (n == 0)).clip(1))
+        order = sorted(range(len(names)), key=names.__getitem__)
+        return "\n".join(names[i] for i in order), rows[order]
 
-    return Model(langs, table("w", MAX_WORDS), table("g", MAX_GRAMS))
+    return Model(langs, *table("w"), *table("g"))
 
 
 class Scorer:
@@ -117,23 +130,24 @@ class Scorer:
         self._start()
 
     def _start(self) -> None:
-        self.at = {w: i for i, w in enumerate(self.model.words)}
-        self.rows = np.zeros((len(self.at) + CACHE_WORDS + 1, max(1, len(self.model.langs))))
-        if self.at:
-            self.rows[: len(self.at)] = list(self.model.words.values())
+        model = self.model
+        words = model.words.split("\n") if len(model.word_rows) else []
+        self.at = {w: i for i, w in enumerate(words)}
+        self.grams = {g: i for i, g in enumerate(model.grams.split("\n") if len(model.gram_rows) else [])}
+        self.rows = np.zeros((len(self.at) + CACHE_WORDS + 1, max(1, len(model.langs))))
+        if len(words):
+            self.rows[: len(words)] = model.word_rows
 
     def back_off(self, word: str) -> np.ndarray:
-        padded = f"<{word}>"
-        total = np.zeros(self.rows.shape[1])
-        used = 0
+        padded, grams = f"<{word}>", self.grams
+        used = []
         for i in range(len(padded)):
             for n in range(min(LONGEST, len(padded) - i), 0, -1):
-                known = self.model.grams.get(padded[i : i + n])
+                known = grams.get(padded[i : i + n])
                 if known is not None:
-                    total += known
-                    used += 1
+                    used.append(known)
                     break
-        return total / used if used else total
+        return self.model.gram_rows[used].mean(axis=0, dtype=np.float64) if used else np.zeros(self.rows.shape[1])
 
     def score(self, text: str | None) -> tuple[str, float]:
         """(language, share of its tempered likelihood); ``und`` and 0 without letters or without a model."""
@@ -161,14 +175,9 @@ class Scorer:
         return self.model.langs[best], float(share[best] / share.sum())
 
 
-_current: list = []
-
-
 def _scorer(model) -> Scorer:
-    """The worker's scorer of a broadcast model; the model is held, so that another one can't pass for it."""
-    if not _current or _current[0] is not model:
-        _current[:] = [model, Scorer(model.value)]
-    return _current[1]
+    """The worker's scorer of a broadcast model; the model is part of the key, so that another one can't pass for it."""
+    return worker_state(("language", model), lambda: Scorer(model.value))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +203,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose language is determined with a score of ``least`` or more."""
+    """The rows of ``docs``, all columns as they are, whose language is determined with a score of ``least`` or more.
+
+    Null texts and texts without letters go; texts of any length are scored
+    whole; repeated rows are judged each; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,13 +12,14 @@ as often as the sets overlap.
 4. pairs whose joint maximum-likelihood similarity is too low for chance are
    dropped, the others verified on full sets; links give components; the number
    of bands and this limit follow from the similarity of a link (``limits``);
-5. a bucket that still spans several components is searched again: its strays
-   (members outside its largest component) meet, chunk by chunk, the members of
-   other components; first only the likeliest few, then all that pass.
-
-A bucket whose members are one component needs no more pairs, so the pairs of a
-group of copies stay proportional to its size, and no link that could change a
-component is left out but with the probability ``LOSS`` twice.
+5. a bucket that still spans several components is searched within: its strays
+   (members outside its largest component) meet all members, part by part, and
+   only links between components leave the task.
+
+A bucket whose members are one component needs no more pairs, no pairs of a
+group are ever written, and no link that could change a component is left out but
+with the probability ``LOSS`` twice.  A bucket of n unlinked members costs n / 4096
+copies of each member's set.
 """
 
 from __future__ import annotations
@@ -29,23 +30,27 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, cut, in_bitmap
+from .common import bitmap_of, cut, in_bitmap, spread, worker_state
+from .tokens import runs
 
 #: Registers, base of their scale, registers in a band.
 M, BASE, ROWS = 128, 1.02, 4
 _OFFSET = 4096
 #: Most probability with which the bands, and with which the likelihood estimate, may miss a pair that just links.
 LOSS = 1e-6
-#: Members of a bucket that one task compares at a time, and proposals for a stray in the first search.
-CHUNK, FIRST = 512, 4
+#: Members, and bytes of their sets, in one part of a bucket; a task holds two parts.
+PART_ROWS, PART_BYTES = 4096, 32_000_000
+#: Nodes of edges that a task unites before it hands them on.
+MOST_NODES = 1_000_000
+
+#: Hashes of words that a worker keeps.
+MOST_WORDS = 250_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_WORDS: dict[bytes, int] = {}
 _U = np.uint64
 
 
@@ -55,15 +60,19 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > 400_000:
-        _WORDS.clear()
-    ids = list(map(_WORDS.get, words))
+    known: dict[bytes, int] = worker_state("word hashes", dict)
+    if len(known) > MOST_WORDS:
+        known.clear()
+    ids = list(map(known.get, words))
     if None in ids:
         for k, i in enumerate(ids):
             if i is None:
-                i = _WORDS.get(words[k])
+                word = words[k]
+                i = known.get(word)
                 if i is None:
-                    i = _WORDS[words[k]] = xxhash.xxh3_64_intdigest(words[k])
+                    i = xxhash.xxh3_64_intdigest(word)
+                    if len(word) < 100:
+                        known[word] = i
                 ids[k] = i
     return np.array(ids, dtype=np.uint64)
 
@@ -197,100 +206,161 @@ def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, SIGNED)
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of one partition as stars: each node with the smallest node it reaches here."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while (up := parent.get(x, x)) != top:
+            parent[x] = top
+            x = up
+        return top
+
+    def stars() -> pa.RecordBatch:
+        made = [(x, top) for x in list(parent) if (top := root(x)) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist()):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                parent.setdefault(min(a, b), min(a, b))
+        if len(parent) > MOST_NODES:
+            yield stars()
+    yield stars()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every node of the edges (a, b): the smallest id it reaches, by alternating stars."""
-    cur = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    """(id, component) of every node of the edges (a, b) but the smallest of each component, which is the component's name.
+
+    Edges point to the smaller node.  Each round makes stars of the edges that
+    meet in a partition, first where they lie and then dealt by their larger
+    node, until every node has one edge.  What is left is a forest, whose paths
+    are halved until they end in the roots.
+    """
+    cur = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    while True:
+        cur = cut(cur.mapInArrow(_contract, "u long, v long").repartition("u").mapInArrow(_contract, "u long, v long"))
+        if cur.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+            break
     while True:
-        both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = cut(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        # Done when all edges are stars: every node has one edge, to a node that has none itself.
-        inner = cur.select("u").intersect(cur.select(F.col("v").alias("u")))
-        several = cur.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").select("u")
-        if inner.union(several).isEmpty():
+        above = cur.select(F.col("u").alias("v"), F.col("v").alias("top"))
+        if cur.join(above, "v", "left_semi").isEmpty():
             return cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        cur = cut(cur.join(above, "v", "left").select("u", F.coalesce("top", "v").alias("v")))
 
 
-def _pass_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and likelihood allow a link."""
-    _, least = limits(percent)
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Elements that two sorted sets, neither empty, have in common."""
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return int((x[at] == y).sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype="<u2").reshape(-1, M) for c in ("s_a", "s_b"))
-            n_a, n_b = (batch[c].to_numpy().astype(float) for c in ("n_a", "n_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(likely(a, b, n_a, n_b, least)))
 
-    return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+def _is_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = _shared(x, y)
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, M)
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
+
+def _verify(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes, likelihood and then the full sets confirm."""
+    _, least = limits(percent)
+    side = lambda x: members.select(F.col("id").alias(x), F.struct("n", "sketch", "set").alias(f"of_{x}"))
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("of_a.n", "of_b.n") * 100 >= F.greatest("of_a.n", "of_b.n") * percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch["set_a"], batch["set_b"]):
-                x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                shared = int((x[at] == y).sum())
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            if not batch.num_rows:
+                continue
+            (n_a, s_a), (n_b, s_b) = ((batch[f"n_{x}"].to_numpy().astype(float), _matrix(batch[f"sketch_{x}"])) for x in "ab")
+            ok = likely(s_a, s_b, n_a, n_b, least)
+            for k in np.flatnonzero(ok).tolist():
+                x, y = (np.frombuffer(batch[f"set_{side}"][k].as_buffer(), dtype="<u8") for side in "ab")
+                ok[k] = _is_link(x, y, percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    flat = [F.col(f"of_{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("n", "sketch", "set")]
+    return joined.select("a", "b", *flat).mapInArrow(run, "a long, b long")
 
 
-def _proposals(members: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """Pairs of different components in one bucket that sketches allow, the likeliest ``most`` for a stray and chunk or all.
+def _links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links between different components in one tile: its strays against its other members.
 
-    ``members``: band, key, id, n, sketch, component of buckets with several
-    components.  A pair is proposed in the first band that both share.
+    Sets that just link share one of the rarest elements of each (as many as
+    the union may lack, and one more), so only members that share such an element are
+    compared, in the first band that both share.  Components that a link has united
+    need no second link.
     """
     bands, least = limits(percent)
-    sized = members.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
-    largest = sized.groupBy("band", "key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
-    rows = members.join(largest, ["band", "key"]).withColumn("chunks", F.ceil(F.col("all") / CHUNK).cast("int"))
-    stray = F.col("component") != F.col("top.component")
-    kept = ["band", "key", "chunk", "is_stray", "id", "n", "sketch", "component"]
-    as_member = rows.withColumns({"chunk": F.pmod(F.xxhash64("id"), "chunks").cast("int"), "is_stray": F.lit(False)}).select(*kept)
-    as_stray = rows.where(stray).withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "is_stray": F.lit(True)}).select(*kept)
+    band = table["band"][0].as_py()
+    is_stray = table["is_stray"].to_numpy()
+    stray, other = np.flatnonzero(is_stray), np.flatnonzero(~is_stray)
+    if not len(stray) or not len(other):
+        return []
+    ids, n = (table[c].to_numpy() for c in ("id", "n"))
+    label = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+    sketch = _matrix(table["sketch"])
+    values = np.ascontiguousarray(sketch[:, : ROWS * bands]).view("<u8")
+    sets = [np.frombuffer(x, dtype="<u8") for x in table["set"].to_pylist()]
+    owner = np.repeat(np.arange(len(sets)), n)
+    code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    order = np.lexsort((code, count[code], owner))
+    first = np.cumsum(n) - n
+    rare = n - (percent * n + 99) // 100 + 1
+    prefix = order[runs(first, rare)]
+    code, owner = code[prefix], owner[prefix]
+    to = np.cumsum(rare)
+    of_other = np.flatnonzero(~is_stray[owner])
+    of_other = of_other[np.argsort(code[of_other], kind="stable")]
+    post_code, post = code[of_other], owner[of_other]
+    found = []
+    for k in stray.tolist():
+        own = code[to[k] - rare[k] : to[k]]
+        lo, hi = np.searchsorted(post_code, own), np.searchsorted(post_code, own, side="right")
+        at = post[runs(lo, hi - lo)]
+        at = at[(label[at] != label[k]) & similar_sizes(n[at], n[k], percent)]
+        if not len(at):
+            continue
+        at = np.flatnonzero(np.bincount(at, minlength=len(ids)))
+        at = at[(values[at] == values[k]).argmax(axis=1) == band]
+        if not len(at):
+            continue
+        at = at[likely(sketch[k][None, :], sketch[at], np.full(len(at), float(n[k])), n[at].astype(float), least)]
+        for j in at.tolist():
+            if label[j] != label[k] and _is_link(sets[j], sets[k], percent):
+                found.append((int(ids[j]), int(ids[k])))
+                label[label == label[j]] = label[k]
+    return found
+
+
+def _search(open_rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links between components within buckets.
+
+    ``open_rows``: band, key, id, component, top (the bucket's largest component)
+    and parts.  A bucket's members are dealt into ``parts`` parts, and a tile holds the
+    strays of one part and the members of another, so that a task holds two parts at
+    most, however large a bucket is.
+    """
+    rows = open_rows.join(members, "id").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    kept = ["band", "key", "stray_part", "part", "is_stray", "id", "n", "sketch", "set", "component"]
+    others = rows.withColumns({"stray_part": every, "is_stray": F.lit(False)}).select(*kept)
+    strays = rows.where("component <> top").withColumn("stray_part", F.col("part")).drop("part").withColumns({"part": every, "is_stray": F.lit(True)}).select(*kept)
 
     def search(table: pa.Table) -> pa.Table:
-        band = table["band"][0].as_py()
-        is_stray = table["is_stray"]
-        strays, others = table.filter(is_stray), table.filter(pa.compute.invert(is_stray))
-        low, high = [], []
-        if strays.num_rows and others.num_rows:
-            sk = np.frombuffer(b"".join(others["sketch"].to_pylist()), dtype="<u2").reshape(-1, M)
-            values = np.ascontiguousarray(sk[:, : ROWS * bands]).view("<u8")
-            ids, n, comp = (others[c].to_numpy() for c in ("id", "n", "component"))
-            for i, size, blob, c in zip(*(strays[k].to_pylist() for k in ("id", "n", "sketch", "component"))):
-                own = np.frombuffer(blob, dtype="<u2")
-                ok = (comp != c) & similar_sizes(n, size, percent)
-                ok[ok] = (values[ok] == own[: ROWS * bands].view("<u8")).argmax(axis=1) == band
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
-                at = at[likely(own[None, :], sk[at], np.full(len(at), float(size)), n[at].astype(float), least)]
-                if most is not None and len(at) > most:
-                    equal = (sk[at] == own[None, :]).sum(axis=1)
-                    at = at[np.lexsort((ids[at], -equal))[:most]]
-                low.append(np.minimum(ids[at], i))
-                high.append(np.maximum(ids[at], i))
-        made = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (low, high)]
-        return pa.table({"a": pa.array(made[0], pa.int64()), "b": pa.array(made[1], pa.int64())})
-
-    return as_member.union(as_stray).groupBy("band", "key", "chunk").applyInArrow(search, "a long, b long").distinct()
+        found = _links(table, percent)
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return others.union(strays).groupBy("band", "key", "stray_part", "part").applyInArrow(search, "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,46 +374,57 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     * texts that are null or have no words have an empty set and link with
       nothing; fewer than ``width`` words are one shingle
     * a null id takes no part: its component is null and it is kept
-    * rows of one id are one node: repeated rows share their component
+    * rows of one id are one node: repeated rows share their component; of
+      different texts under one id the smallest set is compared
+    * texts of any length are compared whole
     * an empty table gives an empty result; other columns are not read
     """
     if percent < 80:
         raise ValueError("the registers have bands enough for links of 80 percent or more")
     signed = cut(sign(docs, width, id_col, text_col))
     real = signed.where("doc_id is not null and n_shingles > 0")
-    classes = cut(real.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")).alias("x")).select("set_key", "x.*"))
-    nodes = classes.drop("set_key")
-    value = F.transform(F.sequence(F.lit(0), F.lit(limits(percent)[0] - 1)), lambda i: F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
-    placed = nodes.select("id", F.posexplode(value).alias("band", "value")).select("id", "band", F.xxhash64("band", "value").alias("key"))
-    shared = placed.groupBy("band", "key").agg(F.count("*").alias("c"), F.min("id").alias("lead")).where("c > 1")
-    buckets = cut(placed.join(shared, ["band", "key"]))
-
-    # Full sets of the nodes in buckets, from their texts; the bitmap keeps other texts out of the shuffle.
-    wanted = buckets.select("id").distinct()
-    bits, size = bitmap_of(wanted, "id")
+    classes = cut(real.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")).alias("x"), F.count("*").alias("c")).select("set_key", "c", "x.*"))
+    bands = limits(percent)[0]
+    value = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
+    placed = classes.select("id", "n", F.posexplode(value).alias("band", "value")).select("id", "n", "band", F.xxhash64("band", "value").alias("key"))
+    shared = placed.groupBy("band", "key").agg(F.count("*").alias("c"), F.min("id").alias("lead"), F.sum("n").alias("elements")).where("c > 1")
+    total = classes.count() * bands
+    buckets = cut(spread(placed, shared, ["band", "key"], "c", total).drop("n"))
+
+    # Sketches and full sets of the nodes in buckets, from their texts; the bitmap keeps other texts out of the shuffle.
+    bits, size = bitmap_of(buckets.select("id").distinct(), "id")
     texts = in_bitmap(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), F.col("id"), bits, size).where("_hit").select("id", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, width).astype("<u8").tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.binary())], names=["id", "set"])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                sets = [shingles(t, width) for t in part["text"].to_pylist()]
+                made = [m.tobytes() for m in sketches(sets)]
+                columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array(made, pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part["id"], *columns], names=["id", "n", "sketch", "set"])
 
-    sets = cut(texts.mapInArrow(full, "id long, set binary").join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    each = texts.mapInArrow(full, "id long, n long, sketch binary, set binary").where("id is not null and n > 0")
+    members = cut(each.groupBy("id").agg(F.min(F.struct("n", "sketch", "set")).alias("x")).select("id", "x.*"))
 
     pairs = buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(_verify(_pass_sketch(pairs, nodes, percent), sets, percent))
-    found = components(links)
-    for most in (FIRST, None):
-        labelled = buckets.where("c > 2").select("band", "key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
-        members = labelled.join(open_, ["band", "key"]).join(nodes, "id")
-        more = cut(_verify(cut(_proposals(members, percent, most)), sets, percent))
-        if not more.isEmpty():
-            found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-
-    node_of = signed.join(classes.select("set_key", "id"), "set_key", "left")
-    return node_of.join(found, "id", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = components(_verify(pairs, members, percent))
+    labelled = cut(buckets.where("c > 2").drop("lead").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    sized = labelled.groupBy("band", "key", "component").agg(F.count("*").alias("c"), F.max("elements").alias("elements"))
+    parts = F.ceil(F.greatest(F.col("all") / PART_ROWS, F.col("elements") * 8 / PART_BYTES)).cast("int").alias("parts")
+    open_ = (
+        sized.groupBy("band", "key")
+        .agg(F.max(F.struct("c", "component"))["component"].alias("top"), F.sum("c").alias("all"), F.max("elements").alias("elements"), F.count("*").alias("several"))
+        .where("several > 1")
+        .select("band", "key", "top", "all", parts)
+    )
+    more = cut(_search(spread(labelled.select("band", "key", "id", "component"), open_, ["band", "key"], "all", total), members, percent))
+    if not more.isEmpty():
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+
+    named = classes.select("set_key", "c", "id").join(found, "id", "left").select("set_key", "c", F.coalesce("component", "id").alias("component_id"))
+    narrow = signed.select("doc_id", "n_shingles", "set_key")
+    real = narrow.where("doc_id is not null and n_shingles > 0")
+    rest = narrow.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    placed_rows = spread(real, named, ["set_key"], "c", total // bands).select("doc_id", "n_shingles", "component_id")
+    return rest.unionByName(placed_rows).withColumn("kept", F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
