@@ -18,7 +18,7 @@ as often as the sets overlap.
 
 A bucket whose members are one component needs no more pairs, no pairs of a
 group are ever written, and no link that could change a component is left out but
-with the probability ``LOSS`` twice.  A bucket of n unlinked members costs n / 4096
+with the probability ``LOSS`` twice.  A bucket of n unlinked members costs n / 1024
 copies of each member's set.
 """
 
@@ -43,7 +43,7 @@ _OFFSET = 4096
 #: Most probability with which the bands, and with which the likelihood estimate, may miss a pair that just links.
 LOSS = 1e-6
 #: Members, and bytes of their sets, in one part of a bucket; a task holds two parts.
-PART_ROWS, PART_BYTES = 4096, 32_000_000
+PART_ROWS, PART_BYTES = 1024, 32_000_000
 #: Nodes of edges that a task unites before it hands them on.
 MOST_NODES = 1_000_000
 
@@ -345,16 +345,17 @@ def _links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
 def _search(open_rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links between components within buckets.
 
-    ``open_rows``: band, key, id, component, top (the bucket's largest component)
-    and parts.  A bucket's members are dealt into ``parts`` parts, and a tile holds the
-    strays of one part and the members of another, so that a task holds two parts at
-    most, however large a bucket is.
+    ``open_rows``: band, key, id, component, top (the bucket's largest component),
+    parts and stray_parts.  A bucket's members are dealt into ``parts`` parts and its
+    strays into ``stray_parts``; a tile holds one part of each, so that a task's share is
+    bounded however large a bucket is.
     """
-    rows = open_rows.join(members, "id").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = open_rows.join(members, "id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     kept = ["band", "key", "stray_part", "part", "is_stray", "id", "n", "sketch", "set", "component"]
-    others = rows.withColumns({"stray_part": every, "is_stray": F.lit(False)}).select(*kept)
-    strays = rows.where("component <> top").withColumn("stray_part", F.col("part")).drop("part").withColumns({"part": every, "is_stray": F.lit(True)}).select(*kept)
+    others = rows.withColumns({"stray_part": every("stray_parts"), "part": one("parts"), "is_stray": F.lit(False)}).select(*kept)
+    strays = rows.where("component <> top").withColumns({"stray_part": one("stray_parts"), "part": every("parts"), "is_stray": F.lit(True)}).select(*kept)
 
     def search(table: pa.Table) -> pa.Table:
         found = _links(table, percent)
@@ -411,12 +412,13 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     found = components(_verify(pairs, members, percent))
     labelled = cut(buckets.where("c > 2").drop("lead").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
     sized = labelled.groupBy("band", "key", "component").agg(F.count("*").alias("c"), F.max("elements").alias("elements"))
-    parts = F.ceil(F.greatest(F.col("all") / PART_ROWS, F.col("elements") * 8 / PART_BYTES)).cast("int").alias("parts")
+    parts = F.ceil(F.greatest(F.col("all") / PART_ROWS, F.col("elements") * 8 / PART_BYTES)).cast("int")
+    stray_parts = F.ceil(parts * (F.col("all") - F.col("most")) / F.col("all")).cast("int")
     open_ = (
         sized.groupBy("band", "key")
-        .agg(F.max(F.struct("c", "component"))["component"].alias("top"), F.sum("c").alias("all"), F.max("elements").alias("elements"), F.count("*").alias("several"))
+        .agg(F.max(F.struct("c", "component"))["component"].alias("top"), F.max("c").alias("most"), F.sum("c").alias("all"), F.max("elements").alias("elements"), F.count("*").alias("several"))
         .where("several > 1")
-        .select("band", "key", "top", "all", parts)
+        .select("band", "key", "top", "all", parts.alias("parts"), stray_parts.alias("stray_parts"))
     )
     more = cut(_search(spread(labelled.select("band", "key", "id", "component"), open_, ["band", "key"], "all", total), members, percent))
     if not more.isEmpty():
