@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..formats import COMPOSITE, FIELDS, LINE_LENGTH, ORDER, TYPES, VALUES, field_class
+from ..formats import COMPOSITE, FIELDS, LINE_COUNT, LINE_LENGTH, ORDER, TYPES, VALUES, field_class
 
 FILLER = "<"
 _ALPHABET = "^[0-9A-Z<]*$"
@@ -29,20 +30,25 @@ def char_value(c: Column) -> Column:
     return F.when(c == FILLER, 0).when(F.length(c) != 1, -1).otherwise(F.instr(F.lit(VALUES), c) - 1)
 
 
-def weight(i: Column) -> Column:
-    """7, 3, 1, 7, ... for positions from 0."""
-    return F.element_at(F.array(F.lit(7), F.lit(3), F.lit(1)), (i % 3 + 1).cast("int"))
+def _weighted(text: Column, k: int, weight: int) -> Column:
+    """Characters k, k + 3, k + 6, ... (from 0), each as the last digit of its value times ``weight``."""
+    digits = "".join(str(v * weight % 10) for v in range(len(VALUES)))
+    return F.translate(F.regexp_replace(F.substring(text, k + 1, MOST), "(.).?.?", "$1"), VALUES + FILLER, digits + "0")
+
+
+#: More characters than any protected text has.
+MOST = 1_000_000
 
 
 def check_digit(text: Column) -> Column:
-    """Check digit of a text (0 if empty), -1 if it has a character outside the alphabet."""
-    plain = F.translate(text, FILLER, "0")
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.length(plain), F.lit(1))),
-        F.lit(0),
-        lambda acc, i: acc + F.greatest(F.instr(F.lit(VALUES), F.substring(plain, i, F.lit(1))) - 1, F.lit(0)) * weight(i - 1),
-    )
-    return F.when(~text.rlike(_ALPHABET), -1).when(F.length(text) == 0, 0).otherwise(total % 10)
+    """Check digit of a text (0 if empty), -1 if it has a character outside the alphabet.
+
+    Weights 7, 3, 1 repeat, so the characters are sorted by their weight, written as digits
+    mod 10, and summed by counting each digit: no step goes character by character.
+    """
+    total = lambda s: sum(d * (F.length(s) - F.length(F.replace(s, F.lit(str(d)), F.lit("")))) for d in range(1, 10))
+    digits = F.concat(*(_weighted(text, k, w) for k, w in enumerate((7, 3, 1))))
+    return F.when(~text.rlike(_ALPHABET), -1).otherwise(let(digits, total) % 10)
 
 
 def check_digit_of(segments: Iterable[Column]) -> Column:
@@ -121,23 +127,6 @@ def pick(kind: Column, values: Iterable) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), kind)
 
 
-def span(lines: Column, kind: Column, spans: Iterable[tuple[int, int, int] | None]) -> Column:
-    """The characters of the layout's span; empty where it has none."""
-    spans = [s or (0, 0, 0) for s in spans]
-    line = F.get(lines, pick(kind, [s[0] for s in spans]))
-    return F.coalesce(F.substring(line, pick(kind, [s[1] + 1 for s in spans]), pick(kind, [s[2] for s in spans])), F.lit(""))
-
-
-def field(lines: Column, kind: Column, name: str) -> Column:
-    return span(lines, kind, FIELDS[name][1])
-
-
-def composite(lines: Column, kind: Column) -> Column:
-    """The characters that the composite check protects, in order."""
-    most = max(map(len, COMPOSITE.values()))
-    return F.concat(*(span(lines, kind, [(COMPOSITE[t] + (None,) * most)[k] for t in TYPES]) for k in range(most)))
-
-
 def trim_fillers(text: Column) -> Column:
     return F.btrim(text, F.lit(FILLER))
 
@@ -230,50 +219,74 @@ def issue(when: Column, name: Column | str, kind: str, message: Column) -> Colum
     return F.when(when, F.struct(named.alias("field"), F.lit(kind).alias("kind"), message.alias("message")))
 
 
-def class_issues(lines: Column, kind: Column) -> Column:
-    """An issue for each character outside the alphabet or its field's class, in the layout's field order."""
-    most = max(map(len, ORDER.values()))
-    rows = []
-    for k in range(most):
-        per = []
-        for t, i in zip(TYPES, range(len(TYPES))):
-            name = ORDER[t][k] if k < len(ORDER[t]) else None
-            line, start, length = FIELDS[name][1][i] if name else (0, 0, 0)
-            per.append((name or "", field_class(t, name) if name else "Any", line, start, length))
-        rows.append(per)
-    table = F.array(
-        *(
-            F.array(*(F.struct(F.lit(row[i][0]).alias("name"), F.lit(row[i][1]).alias("class"), F.lit(row[i][2]).alias("line"), F.lit(row[i][3]).alias("start"), F.lit(row[i][4]).alias("length")) for row in rows))
-            for i in range(len(TYPES))
-        )
-    )
-    fits = F.create_map(*(F.lit(x) for k, v in CLASS.items() for x in (k, f"^{v}*$")))
+#: Columns of ``cells`` beside the raw fields: check digits, what the composite check protects, and which checks the layout has.
+CHECK_CELLS = {"DocumentNumberCheck": "number_check", "BirthDateCheck": "birth_check", "ExpiryDateCheck": "expiry_check", "OptionalDataCheck": "optional_check", "CompositeCheck": "composite_check"}
+
+
+def cells(lines: str, kind: str, raw: dict[str, str]) -> Column:
+    """struct of all fields of the columns ``lines`` and ``kind``: one branch for each layout, with its positions written out."""
+
+    def cut(at: tuple[int, int, int] | None) -> str:
+        return f"coalesce(substr(get({lines}, {at[0]}), {at[1] + 1}, {at[2]}), '')" if at else "''"
+
+    def layout(i: int, t: str) -> str:
+        parts = [f"'{column}', {cut(FIELDS[name][1][i])}" for name, column in {**raw, **CHECK_CELLS}.items()]
+        protected = ", ".join(map(cut, COMPOSITE[t])) or "''"
+        parts += [f"'protected', concat({protected})", f"'has_optional_check', {str(FIELDS['OptionalDataCheck'][1][i] is not None).lower()}", f"'has_composite_check', {str(FIELDS['CompositeCheck'][1][i] is not None).lower()}"]
+        return f"WHEN {i + 1} THEN named_struct({', '.join(parts)})"
+
+    return F.expr(f"CASE {kind} {' '.join(layout(i, t) for i, t in enumerate(TYPES))} END")
+
+
+def _zone_pattern(i: int) -> str:
+    """What the joined lines of layout ``i`` match if every character fits its field."""
+    t, n = TYPES[i], LINE_LENGTH[TYPES[i]]
+    at = ["."] * (n * LINE_COUNT[t])
+    for name in ORDER[t]:
+        line, start, length = FIELDS[name][1][i]
+        at[line * n + start : line * n + start + length] = [CLASS[field_class(t, name)]] * length
+    return "(?s)^" + "".join(c + (f"{{{len(list(g))}}}") for c, g in groupby(at)) + "$"
+
+
+def class_issues(lines: str, kind: str) -> Column:
+    """An issue for each character of the column ``lines`` outside the alphabet or its field's class, in the layout's field order.
+
+    One pattern for each layout passes zones without such a character; only the others are taken apart.
+    """
+    fits = F.expr(f"CASE {kind} {' '.join(f'WHEN {i + 1} THEN z RLIKE {chr(39)}{_zone_pattern(i)}{chr(39)}' for i in range(len(TYPES)))} END".replace("z RLIKE", f"array_join({lines}, '') RLIKE"))
+    table = [";".join(f"{name}:{field_class(t, name)}:{':'.join(map(str, FIELDS[name][1][i]))}" for name in ORDER[t]) for i, t in enumerate(TYPES)]
     one = F.create_map(*(F.lit(x) for k, v in CLASS.items() for x in (k, f"^{v}$")))
 
-    def of_field(f: Column) -> Column:
-        value = F.substring(F.get(lines, f["line"]), f["start"] + 1, f["length"])
+    def of_field(spec: Column) -> Column:
+        def of_parts(f: Column) -> Column:
+            start = f[3].cast("int")
+            value = F.substring(F.get(F.col(lines), f[2].cast("int")), start + 1, f[4].cast("int"))
+
+            def of_char(c: Column, i: Column) -> Column:
+                outside = ~c.rlike("[0-9A-Z<]")
+                at = start + i + 1
+                return F.when(
+                    outside | ~F.regexp(c, F.element_at(one, f[1])),
+                    F.struct(
+                        f[0].alias("field"),
+                        F.lit("BadFormat").alias("kind"),
+                        F.when(outside, F.format_string("Character '%s' at position %d is outside the MRZ alphabet.", c, at))
+                        .otherwise(F.format_string("Character '%s' is not allowed at position %d (%s).", c, at, f[1]))
+                        .alias("message"),
+                    ),
+                )
+
+            return F.array_compact(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), of_char))
 
-        def of_char(i: Column) -> Column:
-            c = F.substring(value, i, F.lit(1))
-            outside = ~c.rlike("[0-9A-Z<]")
-            at = f["start"] + i
-            return F.when(
-                outside | ~F.regexp(c, F.element_at(one, f["class"])),
-                F.struct(
-                    f["name"].alias("field"),
-                    F.lit("BadFormat").alias("kind"),
-                    F.when(outside, F.format_string("Character '%s' at position %d is outside the MRZ alphabet.", c, at))
-                    .otherwise(F.format_string("Character '%s' is not allowed at position %d (%s).", c, at, f["class"]))
-                    .alias("message"),
-                ),
-            )
+        return let(F.split(spec, ":"), of_parts)
 
-        return F.when(
-            (f["length"] > 0) & ~F.regexp(value, F.element_at(fits, f["class"])),
-            F.array_compact(F.transform(F.sequence(F.lit(1), F.greatest(f["length"], F.lit(1))), of_char)),
-        ).otherwise(F.array().cast(f"array<{ISSUE}>"))
+    apart = F.flatten(F.transform(F.split(F.element_at(F.array(*map(F.lit, table)), F.col(kind)), ";"), of_field))
+    return F.when(fits, F.array().cast(f"array<{ISSUE}>")).otherwise(apart)
 
-    return F.flatten(F.transform(F.element_at(table, kind), of_field))
+
+def is_known(code: Column, codes: Iterable[str]) -> Column:
+    """True if a code of three characters is one of ``codes``."""
+    return F.instr(F.lit(f",{','.join(codes)},"), F.concat(F.lit(","), code, F.lit(","))) > 0
 
 
 def verify(check: Column, protected: Column, filler_allowed: Column, present: Column) -> Column:
@@ -312,7 +325,3 @@ def extended_number(number: Column, optional: Column) -> Column:
         .when(digit.cast("string") != check, out(full, rest, "Invalid", F.format_string("Extended document number check digit is %s, computed %d.", check, digit)))
         .otherwise(out(full, rest, "Valid", F.lit(None).cast("string"))),
     )
-
-
-def lengths() -> list[int]:
-    return [LINE_LENGTH[t] for t in TYPES]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .formats import SPECIAL_CODES, VALUES
 from .functions import mrz as M
-from .operators.parse import CHECKS, count_checks, issue_text, parse
+from .operators.parse import CHECKS, PARTS, count_checks, issue_text, parse
 from .plans import quality, signals, votes
 from .sources.bridge import bridge, cd, sql
 
@@ -21,8 +21,8 @@ REFERENCE = "2026-08-03"
 _NULL = "CAST(NULL AS VARCHAR)"
 
 
-def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(bridge(spark, sf_dir), "mrz_text", REFERENCE)
+def _parsed(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    return parse(bridge(spark, sf_dir), "mrz_text", REFERENCE, parts=parts or PARTS)
 
 
 def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,48 +47,48 @@ def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT10-11: the raw fields."""
-    p = _parsed(spark, sf_dir).where("mrz.mrz_found")
+    p = _parsed(spark, sf_dir, "raw").where("mrz.mrz_found")
     return p.select("doc_id", *(F.col(f"mrz.raw.{c}").alias(c) for c in ("document_code", "issuing_country", "name", "document_number", "nationality", "birth_date", "sex", "expiry_date", "optional_data1", "optional_data2")))
 
 
 def verify_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT15-17: status of the five check digits, the number's with its extension."""
-    p = _parsed(spark, sf_dir).where("mrz.mrz_found")
+    p = _parsed(spark, sf_dir, "checks", "document").where("mrz.mrz_found")
     return p.select("doc_id", *(F.col(f"mrz.checks.{c}").alias(f"{c}_check") for c in CHECKS), F.col("mrz.checks.all_valid").alias("all_valid"), F.col("mrz.document.document_number").alias("number"), F.col("mrz.document.optional_data1").alias("optional"))
 
 
 def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT18-20."""
-    return _parsed(spark, sf_dir).where("mrz.mrz_found").select("doc_id", F.col("mrz.document.primary_identifier").alias("primary_name"), F.col("mrz.document.secondary_identifier").alias("secondary_name"))
+    return _parsed(spark, sf_dir, "document").where("mrz.mrz_found").select("doc_id", F.col("mrz.document.primary_identifier").alias("primary_name"), F.col("mrz.document.secondary_identifier").alias("secondary_name"))
 
 
 def sex_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT21."""
-    return _parsed(spark, sf_dir).where("mrz.mrz_found").select("doc_id", F.col("mrz.document.sex").alias("sex"), F.exists("mrz.issues", lambda i: (i["field"] == "Sex") & (i["kind"] == "InvalidValue")).alias("reported"))
+    return _parsed(spark, sf_dir, "document", "issues").where("mrz.mrz_found").select("doc_id", F.col("mrz.document.sex").alias("sex"), F.exists("mrz.issues", lambda i: (i["field"] == "Sex") & (i["kind"] == "InvalidValue")).alias("reported"))
 
 
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT22-27: partial dates, centuries and calendar."""
-    p = _parsed(spark, sf_dir).where("mrz.mrz_found")
+    p = _parsed(spark, sf_dir, "document").where("mrz.mrz_found")
     b, e = F.col("mrz.document.birth_date"), F.col("mrz.document.expiry_date")
     return p.select("doc_id", b["iso"].alias("birth"), e["iso"].alias("expiry"), b["date"].cast("string").alias("birth_day"), e["date"].cast("string").alias("expiry_day"), M.is_complete(b).alias("complete"))
 
 
 def country_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT28: unknown issuers and nationalities."""
-    p = _parsed(spark, sf_dir).where("mrz.mrz_found").select(F.explode("mrz.issues").alias("i"), F.col("mrz.raw.issuing_country").alias("issuer"))
+    p = _parsed(spark, sf_dir, "raw", "issues").where("mrz.mrz_found").select(F.explode("mrz.issues").alias("i"), F.col("mrz.raw.issuing_country").alias("issuer"))
     return p.where("i.kind = 'UnknownValue'").groupBy(F.col("i.field").alias("field"), "issuer").agg(F.count("*").alias("n"))
 
 
 def char_class_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT12-14: characters that do not fit their field."""
-    p = _parsed(spark, sf_dir).where("mrz.mrz_found").select("doc_id", F.explode("mrz.issues").alias("i"))
+    p = _parsed(spark, sf_dir, "issues").where("mrz.mrz_found").select("doc_id", F.explode("mrz.issues").alias("i"))
     return p.where("i.kind = 'BadFormat' and i.field <> ''").select("doc_id", F.col("i.field").alias("field"), F.col("i.message").alias("message"))
 
 
 def mandatory_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT29."""
-    p = _parsed(spark, sf_dir).where("mrz.mrz_found")
+    p = _parsed(spark, sf_dir, "issues").where("mrz.mrz_found")
     has = lambda f: F.exists("mrz.issues", lambda i: (i["field"] == f) & (i["kind"] == "InvalidValue"))
     return p.select("doc_id", has("Name").alias("no_name"), has("DocumentNumber").alias("no_number"), has("DocumentCode").alias("bad_code"))
 
@@ -106,7 +106,7 @@ def parse_full_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def checks_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG3."""
-    return quality.checks_tally(_parsed(spark, sf_dir))
+    return quality.checks_tally(_parsed(spark, sf_dir, "checks"))
 
 
 def format_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,7 @@ def format_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG4."""
-    return quality.issue_histogram(_parsed(spark, sf_dir))
+    return quality.issue_histogram(_parsed(spark, sf_dir, "checks", "issues"))
 
 
 def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ def labelled_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG6, AGG13's totals: read lines against their labels; reads are the bridge lines, those of one file in 50 with C turned into G, labels the lines."""
     b = bridge(spark, sf_dir).select(F.col("doc_id").alias("file"), F.split(F.upper("mrz_text"), "\n").alias("label"))
     reads = b.where("file % 7 <> 0").select("file", F.transform("label", lambda x: F.when(F.col("file") % 50 == 0, F.regexp_replace(x, "C", "G")).otherwise(x)).alias("read"))
-    checked = parse(reads.withColumn("_text", F.array_join("read", "\n")), "_text")
+    checked = parse(reads.withColumn("_text", F.array_join("read", "\n")), "_text", parts=("checks", "issues"))
     status = F.col("mrz.checks")
     passed = sum(F.when(status[c] == "Valid", 1).otherwise(0) for c in ("document_number", "birth_date", "expiry_date"))
     return quality.evaluate(
