@@ -33,7 +33,8 @@ def test_scaling():
 
 
 def test_statistics():
-    assert I.percentile(np.array([[1, 2], [3, 200]], np.uint8), 0.5) == 2
+    assert I.percentile(np.array([[1, 2], [3, 200]], np.uint8), 50) == 2
+    assert I.percentile(np.array([[5, 6, 7, 8, 9, 10, 11]], np.uint8), 5) == 0  # a third of a pixel rounds down to none
     v = I.normalise(RNG.random(320))
     assert abs(v.sum()) < 1e-4 and abs((v * v).sum() - 1) < 1e-5
     assert I.halve(np.arange(16.0).reshape(4, 4)).tolist() == [[2.5, 4.5], [10.5, 12.5]]
@@ -45,5 +46,5 @@ def test_runs():
     img[20:30, ::4] = 0
     strong, rows = I.edge_rows(img)
     assert rows[:20].sum() == 0 and rows[25] > 50
-    assert I.row_runs(rows) == [(20, 29)] or I.row_runs(rows) == [(19, 30)]
+    assert I.row_runs(rows) == [(19, 31)]  # smoothing adds the rows beside the dark ones
     assert I.row_runs(np.zeros(9, int)) == []

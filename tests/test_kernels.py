@@ -3,8 +3,10 @@
 import itertools
 import random
 
+import pytest
+
 from zonemill.operators.arbitrate import Cell, is_satisfied, options, plausible_date, satisfy, snap, structural
-from zonemill.streaming.session import Session, fold_all
+from zonemill.streaming.session import FRAME, Session, fold_all, fold_batch, fold_stream
 
 
 def test_plausible_dates():
@@ -96,12 +98,12 @@ def test_frames_of_another_number_do_not_vote():
     fold_all([numbered(0, "A", True), numbered(1, "A", True)], s)
     assert s.stable
     s.fold(numbered(2, "B", text="BBBB", confidence=0.99))
-    assert not s.stable and [lines for lines, _, _ in s.votes[1, 4]] == [["AAAA"]] * 2 and s.fused() == ["AAAA"]
+    assert not s.stable and [lines for lines, _, _ in s.ledger.entries["1x4"]] == [["AAAA"]] * 2 and s.fused() == ["AAAA"]
     for k, differs in enumerate(({"issuer": "D<<"}, {"doc_type": "MrvA"})):
         s.fold(numbered(3 + k, "A", **differs))
-        assert len(s.votes[1, 4]) == 2
+        assert len(s.ledger.entries["1x4"]) == 2
     s.fold(numbered(5, "B", text="BBBB", number_valid=False))
-    assert len(s.votes[1, 4]) == 3
+    assert len(s.ledger.entries["1x4"]) == 3
 
 
 def test_first_valid_frame_drops_votes_of_another_number():
@@ -114,4 +116,31 @@ def test_ragged_frames_do_not_vote():
     s = Session()
     fold_all([frame(0, "A"), frame(1, "A")], s)
     s.fold({**frame(2, "A", False), "lines": ["AAAA", "AAA"]})
-    assert not s.stable and len(s.votes) == 1
+    assert not s.stable and len(s.ledger.entries) == 1
+
+
+def test_sessions_survive_a_restart_and_reset():
+    frames = [numbered(k, "AB"[k // 3 % 2], k % 4 != 3) for k in range(14)]
+    whole, cut = Session(), Session()
+    for f in frames:
+        whole.fold(f)
+        cut = Session.restored(cut.state())
+        cut.fold(f)
+        assert whole.row("s", f["frame_no"]) == cut.row("s", f["frame_no"])
+    whole.reset()
+    assert whole.state() == Session().state()
+    with pytest.raises(ValueError):
+        Session(0)
+
+
+def test_batch_and_stream_agree(spark, tmp_path):
+    rows = [{"session_id": f"s{k % 3}", **{n: v for n, v in numbered(k, "AB"[k // 9 % 2], k % 5 != 4).items() if n != "session_id"}} for k in range(36)]
+    want = sorted(r for k in range(3) for r in fold_all([r for r in rows if r["session_id"] == f"s{k}"], Session()))
+    given = spark.createDataFrame([tuple(r[c.split()[0]] for c in FRAME.split(", ")) for r in rows], FRAME)
+    key = lambda got: sorted((tuple(r[:5]) + (list(r[5]) if r[5] is not None else None, r[6]) for r in got), key=lambda r: r[:2])
+    assert key(fold_batch(given).collect()) == want
+    given.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = fold_stream(spark.readStream.schema(given.schema).parquet(f"{tmp_path}/in"))
+    query = stream.writeStream.format("memory").queryName("folded").option("checkpointLocation", f"{tmp_path}/at").trigger(once=True).start()
+    query.awaitTermination()
+    assert key(spark.table("folded").collect()) == want

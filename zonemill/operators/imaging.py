@@ -81,10 +81,10 @@ def rotate(img: np.ndarray, degrees: float) -> np.ndarray:
     return sample(img, (h - 1) / 2 + dx * np.sin(a) + dy * np.cos(a), (w - 1) / 2 + dx * np.cos(a) - dy * np.sin(a))
 
 
-def percentile(img: np.ndarray, share: float) -> int:
-    """The smallest grey value that ``share`` of the pixels do not exceed."""
+def percentile(img: np.ndarray, percent: int) -> int:
+    """The smallest grey value that ``percent`` of the pixels, rounded down to whole pixels, do not exceed."""
     run = np.cumsum(np.bincount(img.ravel(), minlength=256))
-    return int(np.searchsorted(run, share * img.size))
+    return int(np.searchsorted(run, img.size * percent // 100))
 
 
 def normalise(v: np.ndarray) -> np.ndarray:
@@ -116,7 +116,7 @@ def edge_rows(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def row_runs(counts: np.ndarray) -> list[tuple[int, int]]:
-    """(first, last) of rows whose smoothed count passes a quarter of the peak and 12; none under a peak of 20."""
+    """(first, one past the last) of rows whose smoothed count passes a quarter of the peak and 12; none under a peak of 20."""
     wide = np.pad(counts.astype(np.int64), 1)
     near = np.minimum(np.arange(len(counts)) + 2, len(counts)) - np.maximum(np.arange(len(counts)) - 1, 0)
     smooth = (wide[:-2] + wide[1:-1] + wide[2:]) // near
@@ -124,4 +124,4 @@ def row_runs(counts: np.ndarray) -> list[tuple[int, int]]:
         return []
     on = np.pad((smooth >= max(12, smooth.max() // 4)).astype(np.int8), 1)
     step = np.diff(on)
-    return list(zip(np.flatnonzero(step == 1).tolist(), (np.flatnonzero(step == -1) - 1).tolist()))
+    return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()))

@@ -37,19 +37,30 @@ def template_topk(vectors: DataFrame, k: int = 3, every: int = 20) -> DataFrame:
     return scored.select("vec_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("rank", "x")).select("vec_id", F.col("x.label").alias("label"), (F.col("rank") + 1).alias("rank"))
 
 
-def runs(series: DataFrame) -> DataFrame:
-    """Runs of (x, v), smoothed by a mean of three, above a quarter of the peak and 12."""
-    w = Window.orderBy("x")
-    smooth = series.withColumn("s", F.floor(F.avg("v").over(w.rowsBetween(-1, 1))))
-    peak = smooth.agg(F.max("s").alias("peak"))
-    on = smooth.join(F.broadcast(peak)).where((F.col("peak") >= 20) & (F.col("s") >= F.greatest(F.lit(12), F.col("peak") / 4)))
-    grouped = on.withColumn("g", F.col("x") - F.row_number().over(w))
-    return grouped.groupBy("g").agg(F.min("x").alias("first"), F.max("x").alias("last"), F.sum("v").alias("total")).drop("g")
+def runs(series: DataFrame, key: str) -> DataFrame:
+    """Runs of (key, x, v), smoothed by a mean of three, above a quarter of the key's peak and 12: (key, first, past, total).
+
+    A key is one image or series, whose places from the first to the last are looked at;
+    places without a row count 0.  ``past`` is one past the last place.  Each
+    place gives its value to its neighbours, so smoothing needs no sorted
+    window; only the places above the limit are sorted, within their key.
+    """
+    ends = series.groupBy(key).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    given = series.select(key, F.explode(F.array(F.col("x") - 1, F.col("x"), F.col("x") + 1)).alias("at"), F.col("x"), F.col("v"))
+    near = given.groupBy(key, F.col("at").alias("x")).agg(F.sum("v").alias("near"), F.coalesce(F.sum(F.when(F.col("at") == F.col("x"), F.col("v"))), F.lit(0)).alias("v"))
+    inside = near.join(ends, key).where("x between lo and hi")
+    width = 1 + (F.col("x") > F.col("lo")).cast("int") + (F.col("x") < F.col("hi")).cast("int")
+    smooth = inside.withColumn("s", F.floor(F.col("near") / width))
+    peaks = smooth.groupBy(key).agg(F.max("s").alias("peak")).where("peak >= 20")
+    on = smooth.join(peaks, key).where(F.col("s") >= F.greatest(F.lit(12), F.floor(F.col("peak") / 4)))
+    grouped = on.withColumn("g", F.col("x") - F.row_number().over(Window.partitionBy(key).orderBy("x")))
+    return grouped.groupBy(key, "g").agg(F.min("x").alias("first"), (F.max("x") + 1).alias("past"), F.sum("v").alias("total")).drop("g")
 
 
 def histogram_percentiles(binned: DataFrame) -> DataFrame:
-    """5th, 50th and 95th percentile of (event_type, bin), from counts by bin."""
+    """5th, 50th and 95th percentile of (event_type, bin), from counts by bin: the first bin, from 0, by which so many rows (rounded down) are reached."""
     h = binned.groupBy("event_type", "bin").agg(F.count("*").alias("c"))
     run = h.withColumn("upto", F.sum("c").over(Window.partitionBy("event_type").orderBy("bin"))).withColumn("n", F.sum("c").over(Window.partitionBy("event_type")))
-    at = lambda p: F.min(F.when(F.col("upto") >= p * F.col("n"), F.col("bin")))
-    return run.groupBy("event_type").agg(at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    target = lambda p: F.floor(F.max("n") * p / 100)
+    at = lambda p: F.when(target(p) == 0, 0).otherwise(F.min(F.when(F.col("upto") >= F.floor(F.col("n") * p / 100), F.col("bin"))))
+    return run.groupBy("event_type").agg(at(5).alias("p05"), at(50).alias("p50"), at(95).alias("p95"))

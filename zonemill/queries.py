@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .formats import SPECIAL_CODES, VALUES
+from .formats import FIELDS, ORDER, SPECIAL_CODES, TYPES, VALUES, field_class
+from .functions import confidence as C
 from .functions import mrz as M
 from .operators.parse import CHECKS, PARTS, count_checks, issue_text, parse
 from .plans import quality, signals, votes
 from .sources.bridge import bridge, cd, sql
+from .streaming.session import fold_batch, frames
 
 REFERENCE = "2026-08-03"
 _NULL = "CAST(NULL AS VARCHAR)"
@@ -159,10 +161,27 @@ def mean_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LOC2-3: smoothed hourly counts and their runs above a quarter of the peak."""
+    """LOC2-3: smoothed daily counts of each event type and their runs above a quarter of the peak."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    hourly = e.groupBy((F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).cast("long").alias("x")).agg(F.count("*").alias("v"))
-    return signals.runs(hourly)
+    days = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).cast("long")
+    counts = e.groupBy("event_type", days.alias("x")).agg(F.count("*").alias("v"))
+    return signals.runs(counts, "event_type")
+
+
+def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR1-6, 8, 10, 12, 13: reads of the bridge in sessions of up to 40 orders, three reads a document; the state after each read."""
+    b = bridge(spark, sf_dir).where("defect in (0, 1, 3, 8)")
+    reads = b.select(F.floor(F.col("doc_id") / 40).alias("session_id"), F.explode(F.sequence(F.col("doc_id") * 3, F.col("doc_id") * 3 + 2)).alias("frame_no"), "mrz_text", (F.lit(0.5) + F.col("doc_id") % 5 / 10).alias("confidence"))
+    return fold_batch(frames(reads))
+
+
+def calibrated_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RNK5-7: confidence of each record and of its number, at made-up mean scores and numbers of corrections."""
+    p = _parsed(spark, sf_dir, "checks", "raw").where("mrz.mrz_found")
+    score, corrections = F.col("doc_id") % 101 / 100, F.col("doc_id") % 5
+    of_record = C.confidence(score, F.col("mrz.checks"), corrections)
+    of_number = C.field_confidence(F.array(score, score / 2), F.col("mrz.raw.document_number"), F.col("mrz.checks.document_number"))
+    return p.select("doc_id", F.round(of_record, 6).alias("confidence"), C.is_low(of_record).alias("is_low"), F.round(of_number, 6).alias("number_confidence"))
 
 
 def histogram_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         check_digit, detect_format, field_project, verify_checks, split_names, sex_map, parse_dates, country_check, char_class_violations, mandatory_content, parse_full_flat,
-        checks_tally, format_counts, issue_histogram, value_percentiles, labelled_eval, vote_fusion, rolling_sightings, template_topk, mean_template, text_runs, histogram_percentile, least_squares,
+        checks_tally, format_counts, issue_histogram, value_percentiles, labelled_eval, vote_fusion, rolling_sightings, template_topk, mean_template, text_runs, histogram_percentile, least_squares, session_states, calibrated_confidence,
     )
 }
 
@@ -242,7 +261,25 @@ _EXPIRY_YEAR = "concat(CASE WHEN substr(ex, 1, 2) >= '90' THEN '19' ELSE '20' EN
 _SPACED = lambda x: f"regexp_replace(trim({x}, '<'), '<+', ' ', 'g')"
 _KNOWN = "('UTO', 'D<<', 'GBR', 'USA', 'FRA', 'ITA', 'ESP', 'NLD', 'BEL', 'CHE', 'AUT', 'POL', 'SWE', 'NOR', 'DNK', 'FIN', 'IRL', 'PRT', 'GRC', 'CZE', 'HUN', 'ROU', 'JPN', 'CAN', 'AUS')"
 
+_SPANS = ", ".join(f"('{t}', {k}, '{name}', '{field_class(t, name)}', {line + 1}, {start}, {length})" for i, t in enumerate(TYPES) for k, name in enumerate(ORDER[t]) for line, start, length in [FIELDS[name][1][i]])
+_RAW_SCORE = "CASE WHEN present > 0 THEN 0.75 * score + 0.25 * valid / present ELSE score END"
+_FLOOR = "CASE WHEN NOT ok THEN 0 WHEN corrections <= 2 THEN 0.95 ELSE 0.85 END"
+_KNEES = "CASE WHEN raw >= 0.94 THEN 0.97 + (raw - 0.94) * 0.5 WHEN raw >= 0.80 THEN 0.70 + (raw - 0.80) * 0.27 / 0.14 ELSE raw * 0.85 END"
+_MEAN = "SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2 HAVING count(*) >= 2"
+_UNIT = "SELECT {key}, i, c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS u FROM (SELECT {key}, i, m - avg(m) OVER (PARTITION BY {key}) AS c FROM ({rows}))"
+_QUERY = "SELECT vec_id, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS m FROM embeddings WHERE vec_id % 20 = 0"
+_STATUSES = "[s1, s2, s3, s4, s5]"
+_MISFIT = "CASE class WHEN 'Any' THEN '[0-9A-Z<]' WHEN 'Alpha' THEN '[A-Z<]' WHEN 'Digit' THEN '[0-9]' WHEN 'DigitOrFiller' THEN '[0-9<]' ELSE '[MFX<]' END"
+
 ORACLES: dict[str, str] = {
+    "char_class_violations": _with(_NORMAL, f"spans(kind, k, field, class, line, first, size) AS (VALUES {_SPANS})", "ch AS (SELECT doc_id, field, class, first + p AS place, substr(l[line], first + p, 1) AS c FROM r JOIN spans USING (kind), range(1, 45) t(p) WHERE p <= size)")
+    + f"SELECT doc_id, field, CASE WHEN NOT regexp_matches(c, '[0-9A-Z<]') THEN format('Character ''{{}}'' at position {{}} is outside the MRZ alphabet.', c, place) ELSE format('Character ''{{}}'' is not allowed at position {{}} ({{}}).', c, place, class) END AS message FROM ch WHERE NOT regexp_matches(c, {_MISFIT})",
+    "calibrated_confidence": _with(
+        _NORMAL, _CHECKED, f"v AS (SELECT doc_id, num, s1, (doc_id % 101) / 100.0 AS score, doc_id % 5 AS corrections, len(list_filter({_STATUSES}, lambda s: s = 'Valid')) AS valid, len(list_filter({_STATUSES}, lambda s: s <> 'NotPresent')) AS present, NOT list_contains({_STATUSES}, 'Invalid') AS ok FROM c)",
+        f"m AS (SELECT *, {_RAW_SCORE} AS raw FROM v)", f"q AS (SELECT *, least(greatest(least(greatest({_KNEES}, 0), 0.999), {_FLOOR}), 0.999) AS conf FROM m)",
+    ) + "SELECT doc_id, round(CAST(conf AS DOUBLE), 6) AS confidence, conf < 0.5 AS is_low, round(CAST(CASE WHEN replace(num, '<', '') = '' THEN 0 ELSE least(greatest(CASE s1 WHEN 'Valid' THEN 1 - (1 - score * 0.75) * 0.3 WHEN 'Invalid' THEN score * 0.75 * 0.5 ELSE score * 0.75 END, 0), 0.999) END AS DOUBLE), 6) AS number_confidence FROM q",
+    "text_runs": "WITH e AS (SELECT event_type, CAST(floor(epoch(CAST(ts AS TIMESTAMP)) / 86400) AS BIGINT) AS x, count(*) AS v FROM events GROUP BY 1, 2), b AS (SELECT event_type, unnest(range(min(x), max(x) + 1)) AS x FROM e GROUP BY 1), f AS (SELECT event_type, x, coalesce(v, 0) AS v FROM b LEFT JOIN e USING (event_type, x)), s AS (SELECT *, floor(avg(v) OVER (PARTITION BY event_type ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS s FROM f), p AS (SELECT *, max(s) OVER (PARTITION BY event_type) AS peak FROM s), o AS (SELECT *, x - row_number() OVER (PARTITION BY event_type ORDER BY x) AS g FROM p WHERE peak >= 20 AND s >= greatest(12, floor(peak / 4))) SELECT event_type, min(x) AS first, max(x) + 1 AS past, CAST(sum(v) AS BIGINT) AS total FROM o GROUP BY event_type, g",
+    "template_topk": f"WITH t AS ({_UNIT.format(key='label', rows=_MEAN)}), q AS ({_UNIT.format(key='vec_id', rows=_QUERY)}), d AS (SELECT vec_id, label, sum(q.u * t.u) AS s FROM q JOIN t USING (i) GROUP BY 1, 2), k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, label) AS rank FROM d) SELECT vec_id, CAST(label AS INT) AS label, CAST(rank AS INT) AS rank FROM k WHERE rank <= 3",
     "check_digit": _with("l AS (SELECT doc_id, string_split(mrz_text, chr(10)) AS l FROM bridge)", f"u AS (SELECT doc_id, w, unnest(range(1, length(s) + 1)) AS i, s FROM (SELECT doc_id, 1 AS w, l[1] AS s FROM l UNION ALL SELECT doc_id, 2, concat(l[1], l[2]) FROM l))", f"s AS (SELECT doc_id, w, CASE WHEN bool_or(NOT regexp_matches(substr(s, i, 1), '[0-9A-Z<]')) THEN -1 ELSE sum(CASE WHEN substr(s, i, 1) = '<' THEN 0 ELSE greatest(instr('{VALUES}', substr(s, i, 1)) - 1, 0) END * CASE i % 3 WHEN 1 THEN 7 WHEN 2 THEN 3 ELSE 1 END) % 10 END AS v FROM u GROUP BY 1, 2)") + "SELECT doc_id, CAST(max(v) FILTER (w = 1) AS INT) AS first, CAST(max(v) FILTER (w = 2) AS INT) AS \"both\" FROM s GROUP BY 1",
     "detect_format": _with(_NORMAL) + "SELECT doc_id, CAST(len(g) AS INT) AS n_lines, expected, kind AS doc_type, CAST(CASE WHEN kind IS NULL THEN 0 ELSE len(list_filter(g, lambda x: length(x) <> expected)) END AS INT) AS n_length_issues FROM r",
     "field_project": _with(_NORMAL) + "SELECT doc_id, code AS document_code, iss AS issuing_country, name, num AS document_number, nat AS nationality, bir AS birth_date, sx AS sex, ex AS expiry_date, opt1 AS optional_data1, opt2 AS optional_data2 FROM r WHERE kind IS NOT NULL",
@@ -257,6 +294,6 @@ ORACLES: dict[str, str] = {
     "rolling_sightings": "SELECT user_id AS session_id, event_id AS frame_no, event_type AS identity, CAST((SELECT count(*) FROM (SELECT 1)) AS BIGINT) * CAST(len(list_filter(list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 15 PRECEDING AND CURRENT ROW), lambda t: t = event_type)) AS BIGINT) AS sightings FROM events",
     "vote_fusion": "WITH f AS (SELECT event_type AS session_id, lpad(CAST(event_id AS VARCHAR), 8, '0') AS line, CAST(round(value, 2) AS DECIMAL(18, 2)) AS weight FROM events), c AS (SELECT session_id, i AS pos, substr(line, i, 1) AS ch, sum(weight) AS w FROM f, range(1, 9) r(i) GROUP BY 1, 2, 3), b AS (SELECT session_id, pos, ch, row_number() OVER (PARTITION BY session_id, pos ORDER BY w DESC, ch) AS k FROM c) SELECT session_id, string_agg(ch, '' ORDER BY pos) AS fused FROM b WHERE k = 1 GROUP BY 1",
     "mean_template": "WITH u AS (SELECT label, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS dim FROM embeddings) SELECT CAST(label AS INT) AS label, CAST(dim AS INT) AS dim, round(avg(CAST(v AS DOUBLE)), 6) AS mean, count(*) AS n FROM u GROUP BY 1, 2 HAVING count(*) >= 2",
-    "histogram_percentile": "WITH h AS (SELECT event_type, CAST(least(greatest(floor(value), 0), 255) AS INT) AS bin FROM events), s AS (SELECT event_type, bin, row_number() OVER (PARTITION BY event_type ORDER BY bin) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM h) SELECT event_type, min(bin) FILTER (i >= 0.05 * n) AS p05, min(bin) FILTER (i >= 0.5 * n) AS p50, min(bin) FILTER (i >= 0.95 * n) AS p95 FROM s GROUP BY 1",
+    "histogram_percentile": "WITH h AS (SELECT event_type, CAST(least(greatest(floor(value), 0), 255) AS INT) AS bin FROM events), s AS (SELECT event_type, bin, row_number() OVER (PARTITION BY event_type ORDER BY bin) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM h) SELECT event_type, coalesce(min(bin) FILTER (i >= t05 AND t05 > 0), 0) AS p05, coalesce(min(bin) FILTER (i >= t50 AND t50 > 0), 0) AS p50, coalesce(min(bin) FILTER (i >= t95 AND t95 > 0), 0) AS p95 FROM (SELECT *, n * 5 // 100 AS t05, n * 50 // 100 AS t50, n * 95 // 100 AS t95 FROM s) GROUP BY 1",
     "least_squares": "SELECT CAST(l_linenumber AS INT) AS line, round(regr_slope(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 3) AS slope, round(regr_intercept(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 2) AS intercept FROM lineitem GROUP BY 1",
 }
