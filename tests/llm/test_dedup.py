@@ -124,3 +124,53 @@ def test_shards(hard, docs):
     assert {r["grown_shard"] for r in moved} == {8} and 120 < len(moved) < 330
     assert all(170 < sum(r["shard"] == s for r in many) < 330 for s in range(8))
     assert shard_slots(docs([(1, "x")]).limit(0), tree, tree.grow()).count() == 0
+
+
+CLASHING = ("row", "gone", "_hit", "_bucket", "_at", "_bits", "_len", "_id", "_sha", "_rank", "_gone", "id", "sha", "stay_id")
+
+
+def test_names_of_other_columns_do_not_matter(docs):
+    given = docs([(1, "a b"), (2, "a  b"), (3, "c"), (None, "d"), (None, "d"), (4, None)])
+    for name in CLASHING:
+        given = given.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    want = {(r["doc_id"], *(r[c] for c in CLASHING)) for r in given.collect()}
+    got = drop_copies(given).collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 2, 3, 4]
+    assert {(r["doc_id"], *(r[c] for c in CLASHING)) for r in got} <= want
+    left = without_ids(given, given.where("doc_id in (1, 3)").select("doc_id")).collect()
+    assert sorted((r["doc_id"] or 0) for r in left) == [0, 0, 2, 4]
+    assert {(r["doc_id"], *(r[c] for c in CLASHING)) for r in left} <= want
+
+
+def test_large_buckets_are_searched_in_tiles(docs, monkeypatch):
+    """Near copies of one text that do not link with each other, two by two linked: the same classes in tiles as by brute force."""
+    import zonemill.llm.setsketch as S
+
+    monkeypatch.setattr(S, "PART_ROWS", 8)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(24):
+        own = list(base)
+        for j in rng.sample(range(120), 9):
+            own[j] = f"x{k}-{j}"
+        rows.append((2 * k, " ".join(own)))
+        own[rng.randrange(120)] = "other"
+        rows.append((2 * k + 1, " ".join(own)))
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(docs(rows), width=2, percent=85).collect()}
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in rows}
+    label = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = {i: low if c == high else c for i, c in label.items()}
+    assert got == label and len(set(label.values())) > 5
+
+
+def test_hot_keys_join_as_others(spark):
+    from zonemill.llm.common import spread
+
+    left = spark.range(3000).selectExpr("case when id < 2000 then 0 else id end as k", "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
+    got = spread(left, right, ["k"], "n", 3000)
+    assert got.count() == 3000 and got.where("k = 0").agg(F.max("m")).first()[0] == 1999

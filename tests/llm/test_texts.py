@@ -158,3 +158,49 @@ def test_pipeline(spark, docs, tmp_path):
     ids = {r["doc_id"] for r in got.select("doc_id").distinct().collect()}
     assert ids >= set(range(3, 120)) and not ids & {502, 503, 500, 501}
     assert [n for n, _ in p.STAGES] == ["language", "exact_dedup", "near_dedup", "pii", "packing"]
+
+
+def test_numbers_are_not_letters(docs):
+    model = langid.train(docs([(k, f"the word {k}" if k % 2 else f"das wort {k}", "en" if k % 2 else "de") for k in range(40)]))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs([(0, "\u00bd \u00b2 12 _"), (1, "the \u00bdword\u00b2")]), model).collect()}
+    assert got[0] == ("und", 0.0) and got[1][0] == "en"
+    assert langid.words_of("x\u00b2y \u00bd z_1") == ["x", "y", "z"]
+
+
+def test_language_by_brute_force(docs):
+    """Scores of seen and unseen words as written out here."""
+    import math
+    from collections import Counter
+
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat sat", "en"), ("the hat", "en"), ("der hut sass", "de"), ("das tier", "de")] * 6)]
+    given = docs(rows)
+    held = {r["i"] for r in given.select(F.col("doc_id").alias("i"), langid.held_out(F.col("doc_id")).alias("h")).collect() if r["h"]}
+    words, grams = {}, {}
+    for i, t, lang in rows:
+        if i not in held:
+            words.setdefault(lang, Counter()).update(t.split())
+    for lang, c in words.items():
+        for w, n in c.items():
+            for x in langid.grams_of(w):
+                grams.setdefault(lang, Counter())[x] += n
+
+    def value(table, lang, item):
+        size, n = sum(table[lang].values()), table[lang][item]
+        return math.log(n / size) if n else math.log(0.5 / (size + 1))
+
+    def score(word, lang):
+        if any(word in c for c in words.values()):
+            return value(words, lang, word)
+        padded, used = f"<{word}>", []
+        for i in range(len(padded)):
+            known = [padded[i : i + n] for n in range(min(4, len(padded) - i), 0, -1) if any(padded[i : i + n] in c for c in grams.values())]
+            used += [value(grams, lang, known[0])] if known else []
+        return sum(used) / len(used) if used else 0.0
+
+    scorer = langid.Scorer(langid.train(given))
+    for text in ("the hut", "catter sassy", "zzz", "tiere das qqq the"):
+        totals = {lang: sum(score(w, lang) for w in text.split()) / math.sqrt(len(text.split())) for lang in ("de", "en")}
+        best = max(sorted(totals), key=totals.get)
+        share = math.exp(totals[best]) / sum(map(math.exp, totals.values()))
+        lang, got = scorer.score(text)
+        assert lang == best and abs(got - share) < 1e-5
