@@ -204,3 +204,32 @@ def test_language_by_brute_force(docs):
         share = math.exp(totals[best]) / sum(map(math.exp, totals.values()))
         lang, got = scorer.score(text)
         assert lang == best and abs(got - share) < 1e-5
+
+
+def test_allowed_by_brute_force():
+    for n in (1, 30, 297, 900):
+        for limit, risk in ((0.02, 0.05 / 20), (0.1, 0.05)):
+            tail = lambda k: sum(math.comb(n, i) * limit**i * (1 - limit) ** (n - i) for i in range(k + 1))
+            most = quality.allowed(n, limit, risk)
+            assert (most < 0 or tail(most) <= risk) and tail(most + 1) > risk
+    assert quality.allowed(296, 0.02, 0.05 / 20) == -1 and quality.allowed(297, 0.02, 0.05 / 20) == 0 and quality.allowed(0, 0.02, 0.5) == -1
+
+
+def test_choice_by_brute_force():
+    """The bound holds for the verdict of all rules together: chosen among all steps of all paths as written out here."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for trial in range(20):
+        passed = rng.integers(0 if trial % 2 else 6, 11, (200, 4))
+        good, bad = rng.integers(0, 5, 200) * (passed.min(axis=1) > trial // 3), rng.integers(0, 3, 200)
+        n, best, caught = good.sum(), ((), 0), 0
+        for path in quality.PATHS:
+            for step in range(quality.STEPS):
+                out = [any(row[r] <= step for r in path) for row in passed]
+                if not quality.within(good[out].sum(), n, 0.02, 0.001):
+                    break
+                if bad[out].sum() > caught:
+                    best, caught = (path, step), bad[out].sum()
+        assert quality.choose(passed, good, bad, 0.02, 0.001) == best
+    assert len(quality.PATHS) == 5 and all(len(cs) == quality.STEPS and list(cs) == sorted(cs, reverse=True) for _, cs in quality.RULES.values())
