@@ -233,3 +233,35 @@ def test_choice_by_brute_force():
                     best, caught = (path, step), bad[out].sum()
         assert quality.choose(passed, good, bad, 0.02, 0.001) == best
     assert len(quality.PATHS) == 5 and all(len(cs) == quality.STEPS and list(cs) == sorted(cs, reverse=True) for _, cs in quality.RULES.values())
+
+
+def test_coreference(spark):
+    rows = [
+        (1, "Mr Ivan Petrov met Dr. Clara Petrova. Then Ivan Petrov left, and Petrov's friend Petrova stayed with Petrovic."),
+        (2, "Mr Petrov and Mr Ivan Petrov; Petrov said"),
+        (3, "Mr Ivan Petrov and Mrs Olga Petrov; Petrov said"),
+        (4, "Petrov wrote, but no title names a person here"),
+    ]
+    got = {r["doc_id"]: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k", found="found").collect()}
+    one = [(e["canonical"], e["surrogate"]) for e in got[1]["found"]]
+    assert [c for c, _ in one] == ["Ivan Petrov", "Clara Petrova", "Ivan Petrov", "Ivan Petrov", "Clara Petrova"]
+    family = one[0][1].split()[-1]
+    assert one[2][1] == one[0][1].removeprefix("Mr ") and one[3][1] == family != one[4][1] == one[1][1].split()[-1]
+    assert one[1][1].startswith("Dr. ") and one[1][1].split()[1] in surrogates.GIVEN["f", "latin"].split()
+    assert one[0][1].split()[1] in surrogates.GIVEN["m", "latin"].split() and got[1]["text"].endswith("Petrovic.") and "Petrov " not in got[1]["text"]
+    # The full name is one entity in all texts; a family name that two full names of a text share is one of its own.
+    assert {e["surrogate"].split()[-1] for e in got[2]["found"]} == {family}
+    three = [e["surrogate"].split()[-1] for e in got[3]["found"]]
+    assert three[0] == family and len(set(three)) == 3 and got[4]["text"] == rows[3][1]
+
+
+def test_number_classes(spark):
+    area = [f"{a:03d}" for a in (0, 134, 199, 200, 212, 999)]
+    phones = [(a + e + f"{n:04d}",) for a in area for e in ("012", "155", "200", "555", "999") for n in range(0, 10000, 97)]
+    got = spark.createDataFrame(phones, "d string").select("d", surrogates.permuted_phone(F.col("d"), "k").alias("s")).collect()
+    assert len({r["s"] for r in got}) == len(phones) and all(len(r["s"]) == 10 and (r["s"][0] >= "2") == (r["d"][0] >= "2") and (r["s"][3] >= "2") == (r["d"][3] >= "2") for r in got)
+    ips = [(f"{n}.{i}.{j}",) for n in ("10.0", "172.16", "192.168", "8.8", "97.51") for i in range(0, 256, 5) for j in range(0, 256, 7)]
+    got = spark.createDataFrame(ips, "d string").select("d", surrogates.permuted_ip(F.col("d"), "k").alias("s")).collect()
+    assert len({r["s"] for r in got}) == len(ips) and all(re.fullmatch(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}", r["s"]) for r in got)
+    kept = lambda r: 2 if int(r["d"].split(".")[0]) in surrogates.TWO_OCTETS else 1
+    assert all(r["s"].split(".")[: kept(r)] == r["d"].split(".")[: kept(r)] for r in got)

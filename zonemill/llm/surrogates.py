@@ -2,13 +2,20 @@
 
 DataFrame functions only.  One pattern finds e-mail addresses, IPv4 addresses,
 phone, card and social security numbers, credentials, and names after a title.
-Each match is replaced on its own, by its canonical form and the key alone, so
-every mention of an entity gets the same surrogate in any document and format.
-
-Numbers go through a keyed Feistel permutation of their digits (octets for
-addresses): two different numbers can never get one surrogate.  E-mail
-addresses, credentials and names draw from hashed spaces; a check over all
-distinct entities redraws under the next attempt if two ever met.
+A text with such a name is read again for further mentions of the same people
+without a title, by full or family name.  Each match is replaced by its
+canonical form and the key alone, so every mention of an entity gets the same
+surrogate in any document and format.  A family name alone belongs to the one
+full name of its text that ends in it; if there is none, or more than one, it
+is an entity of its own.
+
+Numbers go through keyed Feistel permutations: two different numbers can never
+get one surrogate.  Phone numbers stay within their class of area and exchange
+codes (a dialable number stays dialable), IPv4 addresses within their first
+octet, or first two where private ranges begin in the second (a private address
+stays private).  E-mail addresses, credentials and names draw from hashed
+spaces; a check over all distinct entities redraws under the next attempt if
+two ever met.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ from .common import cut
 # Titles by gender, given names by gender and script.
 MALE_TITLES = "Mr Herr Monsieur Señor Sr Господин Κύριος"
 FEMALE_TITLES = "Mrs Ms Miss Frau Madame Mme Señora Sra Госпожа Κυρία"
+NEUTRAL_TITLES = "Dr Prof"
 GIVEN = {
     ("m", "latin"): "Alan Bruno Carl Dario Emil Felix Georg Hugo Ivan Jonas Karim Leon Marco Nils Otto Pablo",
     ("f", "latin"): "Alma Bella Clara Dora Elena Fiona Greta Helen Irma Julia Karla Lena Maria Nora Olga Paula",
@@ -46,8 +54,9 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9A-Za-z])[0-9]{4}(?:[0-9]{12}|[0-9]{11}|(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})(?![0-9A-Za-z])"
 CLOUD_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 CREDENTIAL = r"(?<![A-Za-z])(?i:password|passwd|token|secret|api[_-]?key) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9_+/-]{8,}"
-_TITLES = "|".join((MALE_TITLES + " " + FEMALE_TITLES).split())
-NAME = rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+_TITLES = "|".join((MALE_TITLES + " " + FEMALE_TITLES + " " + NEUTRAL_TITLES).split())
+NAME = rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
+TITLE = rf"^(?:{_TITLES})\.? "
 #: Addresses before cards before phones, as the first alternative that matches at a place wins.  Directly after a
 #: Latin letter only IP and SSN can match: that test comes first and spares the others inside words.
 ANY = "(?:(?<![A-Za-z])(?:" + "|".join((EMAIL, IP, CARD, PHONE, SSN, CLOUD_KEY, CREDENTIAL, NAME)) + f")|(?<=[A-Za-z])(?:{IP}|{SSN}))"
@@ -80,10 +89,10 @@ def canonical(m: Column, kind: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(m))
         .when(kind == "ip", F.array_join(octets, "."))
-        .when(kind == "phone", F.substring(digits, F.greatest(F.length(digits) - 9, F.lit(1)), F.lit(10)))
+        .when(kind == "phone", F.regexp_replace(digits, "^1(?=[0-9]{10}$)", ""))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "credential", F.regexp_extract(m, r"([A-Za-z0-9_+/-]{8,})$", 1))
-        .when(kind == "name", F.regexp_replace(m, r"^\S+ ", ""))
+        .when(kind == "name", F.regexp_replace(m, TITLE, ""))
         .otherwise(m)
     )
 
@@ -112,20 +121,70 @@ def permuted(digits: Column, key: str) -> Column:
         return _let(state, lambda s: F.concat(F.lpad(s["a"].cast("string"), left, "0"), F.lpad(s["b"].cast("string"), right, "0")))
 
     out = F.when(F.lit(False), F.lit(""))
-    for n in (9, 10, 13, 14):
+    for n in (9, 13, 14):
         out = out.when(F.length(digits) == n, feistel(F.lit(str(n)), n // 2, n - n // 2))
     return out
 
 
-def permuted_ip(ip: Column, key: str) -> Column:
-    def swap(r: int) -> Callable[[Column], Column]:
-        return lambda s: F.struct(s["b"].alias("a"), ((s["a"] + _number(_hash(key, F.lit(f"i{r}"), s["b"].cast("string")))) % 65536).alias("b"))
+def permuted_phone(digits: Column, key: str) -> Column:
+    """The last ten digits permuted: area and exchange codes that begin with 2 to 9 stay so, and the others stay others."""
+    n = F.length(digits)
+    area, rest = F.substring(digits, n - 9, F.lit(3)).try_cast("long"), F.substring(digits, n - 6, F.lit(7)).try_cast("long")
+
+    def split(value: Column, unit: int) -> tuple[Column, Column, Column]:
+        dialable = value >= 2 * unit
+        return F.when(dialable, value - 2 * unit).otherwise(value), F.when(dialable, 2 * unit).otherwise(0), F.when(dialable, 8 * unit).otherwise(2 * unit)
+
+    (a, a_from, a_size), (b, b_from, b_size) = split(area, 100), split(rest, 1_000_000)
+    state = F.struct(*(c.cast("long").alias(k) for k, c in (("a", a), ("b", b), ("a_from", a_from), ("a_size", a_size), ("b_from", b_from), ("b_size", b_size))))
+
+    def turn(r: int) -> Callable[[Column], Column]:
+        mine, other = ("a", "b") if r % 2 == 0 else ("b", "a")
+
+        def step(s: Column) -> Column:
+            # The class goes into the draw, and is known from the result.
+            drawn = _number(_hash(key, F.lit(f"p{r}"), s["a_size"].cast("string"), s["b_size"].cast("string"), s[other].cast("string")))
+            new = {mine: (s[mine] + drawn) % s[f"{mine}_size"]}
+            return F.struct(*(new.get(k, s[k]).alias(k) for k in ("a", "b", "a_from", "a_size", "b_from", "b_size")))
+
+        return step
 
-    octets = F.transform(F.split(ip, r"\."), lambda o: o.try_cast("int"))
-    state = _let(octets, lambda o: F.struct((F.get(o, 0) * 256 + F.get(o, 1)).cast("long").alias("a"), (F.get(o, 2) * 256 + F.get(o, 3)).cast("long").alias("b")))
     for r in range(4):
-        state = _let(state, swap(r))
-    return _let(state, lambda s: F.concat_ws(".", F.floor(s["a"] / 256).cast("string"), (s["a"] % 256).cast("string"), F.floor(s["b"] / 256).cast("string"), (s["b"] % 256).cast("string")))
+        state = _let(state, turn(r))
+    return _let(state, lambda s: F.concat(F.lpad((s["a"] + s["a_from"]).cast("string"), 3, "0"), F.lpad((s["b"] + s["b_from"]).cast("string"), 7, "0")))
+
+
+#: First octets whose second octet tells private, shared or local ranges: both stay.
+TWO_OCTETS = (100, 169, 172, 192)
+
+
+def permuted_ip(ip: Column, key: str) -> Column:
+    """The octets after the first (after the second for ``TWO_OCTETS``) permuted among all values under the same beginning."""
+
+    def turn(r: int, size: int) -> Callable[[Column], Column]:
+        def step(s: Column) -> Column:
+            drawn = _number(_hash(key, F.lit(f"i{r}"), s["net"], s["b"].cast("string")))
+            return F.struct(s["net"].alias("net"), s["b"].alias("a"), ((s["a"] + drawn) % size).alias("b"))
+
+        return step
+
+    def feistel(net: Column, host: Column, size: int) -> Column:
+        state = F.struct(net.alias("net"), F.floor(host / size).cast("long").alias("a"), (host % size).cast("long").alias("b"))
+        for r in range(4):
+            state = _let(state, turn(r, size))
+        return _let(state, lambda s: _let(s["a"] * size + s["b"], lambda h: F.concat_ws(".", s["net"], *_octets(h, 3 if size == 4096 else 2))))
+
+    def done(o: Column) -> Column:
+        low = F.get(o, 2) * 256 + F.get(o, 3)
+        first = F.get(o, 0).cast("string")
+        two = feistel(F.concat_ws(".", first, F.get(o, 1).cast("string")), low, 256)
+        return F.when(F.get(o, 0).isin(*TWO_OCTETS), two).otherwise(feistel(first, F.get(o, 1) * 65536 + low, 4096))
+
+    return _let(F.transform(F.split(ip, r"\."), lambda o: o.try_cast("long")), done)
+
+
+def _octets(value: Column, count: int) -> list[Column]:
+    return [(F.floor(value / 256**i).cast("long") % 256).cast("string") for i in reversed(range(count))]
 
 
 def luhn(digits: Column) -> Column:
@@ -173,21 +232,29 @@ def _spelled(hexes: Column, script: str, at: int, count: int) -> Column:
     return F.initcap(F.array_join(F.transform(F.sequence(F.lit(at), F.lit(at + count - 1)), syllable), ""))
 
 
-def surrogate_name(m: Column, hexes: Column) -> Column:
-    """The title stays; a given name of the title's gender and a spelled family name in the script of the original."""
-    title, rest = F.regexp_extract(m, r"^(\S+) ", 1), F.regexp_replace(m, r"^\S+ ", "")
-    gender = F.when(F.regexp_replace(title, r"\.$", "").isin(*MALE_TITLES.split()), "m").otherwise("f")
+def gender_of(title: Column, given: Column) -> Column:
+    """Of the title; under a neutral one, of the given name: listed as female, or else ending as most female ones do."""
+    title = F.regexp_replace(title, r"\.? $", "")
+    female = [n for (g, _), names in GIVEN.items() if g == "f" for n in names.split()]
+    male = [n for (g, _), names in GIVEN.items() if g == "m" for n in names.split()]
+    by_name = F.when(given.isin(*male), "m").when(given.isin(*female) | given.rlike("[aаяαάη]$"), "f").otherwise("m")
+    return F.when(title.isin(*MALE_TITLES.split()), "m").when(title.isin(*FEMALE_TITLES.split()), "f").otherwise(by_name)
+
+
+def surrogate_name(m: Column, hexes: Column, gender: Column) -> Column:
+    """The title, if any, stays; a given name of ``gender`` where there was one, and a spelled family name in the script of the original."""
+    title, rest = F.regexp_extract(m, TITLE, 0), F.regexp_replace(m, TITLE, "")
     script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     out = F.lit("")
     for (g, s), names in GIVEN.items():
         given = F.element_at(F.split(F.lit(names), " "), F.conv(F.substring(hexes, 1, 1), 16, 10).cast("int") + 1)
-        # Twelve syllables: 48 bits, in one or two words as the original had.
+        # Twelve syllables: 48 bits.
         full = F.concat(F.when(rest.contains(" "), F.concat(given, F.lit(" "))).otherwise(F.lit("")), _spelled(hexes, s, 2, 12))
         out = F.when((gender == g) & (script == s), full).otherwise(out)
-    return F.concat(title, F.lit(" "), out)
+    return F.concat(title, out)
 
 
-def surrogate(m: Column, kind: Column, canon: Column, key: str, attempt: int) -> Column:
+def surrogate(m: Column, kind: Column, canon: Column, gender: Column, key: str, attempt: int) -> Column:
     """The surrogate of mention ``m``, in its format."""
     h = _hash(key, F.lit(str(attempt)), kind, canon)
 
@@ -201,7 +268,7 @@ def surrogate(m: Column, kind: Column, canon: Column, key: str, attempt: int) ->
             F.when(kind == "email", email)
             .when(kind == "cloud_key", F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))))
             .when(kind == "credential", credential)
-            .otherwise(surrogate_name(m, hexes))
+            .otherwise(surrogate_name(m, hexes, gender))
         )
 
     digits = F.regexp_replace(m, "[^0-9]", "")
@@ -209,19 +276,63 @@ def surrogate(m: Column, kind: Column, canon: Column, key: str, attempt: int) ->
         F.when(kind == "ip", permuted_ip(canon, key))
         .when(kind == "card", in_format(m, permuted_card(canon, key), F.lit(0)))
         .when(kind == "ssn", in_format(m, permuted(canon, key), F.lit(0)))
-        .when(kind == "phone", in_format(m, permuted(canon, key), F.length(digits) - 10))
+        .when(kind == "phone", in_format(m, permuted_phone(canon, key), F.length(digits) - 10))
         .otherwise(_let(h, hashed))
     )
 
 
-def _entities(text: Column, key: str, attempt: int) -> Column:
+PERSON = "array<struct<name:string,gender:string>>"
+
+
+def people(text: Column) -> Column:
+    """The distinct names after a title in ``text``, each with a gender, in order of appearance; null if the text is null."""
+    named = F.regexp_extract_all(text, F.lit(f"({NAME})"), F.lit(1))
+
+    def person(m: Column) -> Column:
+        rest = F.regexp_replace(m, TITLE, "")
+        return F.struct(rest.alias("name"), gender_of(F.regexp_extract(m, TITLE, 0), F.substring_index(rest, " ", 1)).alias("gender"))
+
+    return F.when(text.rlike(NAME), F.array_distinct(F.transform(named, person))).otherwise(F.when(text.isNotNull(), F.array().cast(PERSON)))
+
+
+def _family(name: Column) -> Column:
+    return F.substring_index(name, " ", -1)
+
+
+def pattern_for(persons: Column) -> Column:
+    """``ANY``, and where there are ``persons`` their full and family names without a title (letters only, so they are their own patterns)."""
+    full = F.filter(F.transform(persons, lambda p: p["name"]), lambda n: n.contains(" "))
+    names = F.array_distinct(F.concat(full, F.transform(persons, lambda p: _family(p["name"]))))
+    further = F.concat(F.lit(rf"|(?<!\p{{L}})(?=\p{{Lu}})(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))
+    return F.concat(F.lit(ANY), F.when(F.size(persons) > 0, further).otherwise(F.lit("")))
+
+
+def _entities(text: Column, persons: Column, key: str, attempt: int) -> Column:
     """Array of (mention, kind, canonical form, surrogate) in order of appearance."""
-    found = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))
+    found = F.regexp_extract_all(text, F.concat(F.lit("("), pattern_for(persons), F.lit(")")), F.lit(1))
+
+    def resolved(m: Column, kind: Column) -> Column:
+        """The canonical form; for a family name alone the one full name in the text that ends in it."""
+        own = canonical(m, kind)
+        full = F.array_distinct(F.transform(F.filter(persons, lambda p: p["name"].endswith(F.concat(F.lit(" "), own))), lambda p: p["name"]))
+        return F.when((kind == "name") & ~own.contains(" ") & (F.size(full) == 1), F.get(full, 0)).otherwise(own)
+
+    def gender(m: Column, canon: Column) -> Column:
+        same = F.filter(persons, lambda p: _family(p["name"]) == _family(canon))
+        exact = F.filter(same, lambda p: p["name"] == canon)
+        titled = gender_of(F.regexp_extract(m, TITLE, 0), F.substring_index(canon, " ", 1))
+        known = F.coalesce(F.get(exact, 0)["gender"], F.get(same, 0)["gender"], titled)
+        return F.when(m.rlike(TITLE), titled).otherwise(known)
 
     def entity(m: Column) -> Column:
         return _let(
-            _let(kind_of(m), lambda k: F.struct(m.alias("mention"), k.alias("kind"), canonical(m, k).alias("canonical"))),
-            lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), e["canonical"].alias("canonical"), surrogate(e["mention"], e["kind"], e["canonical"], key, attempt).alias("surrogate")),
+            _let(kind_of(m), lambda k: F.struct(m.alias("mention"), k.alias("kind"), resolved(m, k).alias("canonical"))),
+            lambda e: F.struct(
+                e["mention"].alias("mention"),
+                e["kind"].alias("kind"),
+                e["canonical"].alias("canonical"),
+                surrogate(e["mention"], e["kind"], e["canonical"], gender(e["mention"], e["canonical"]), key, attempt).alias("surrogate"),
+            ),
         )
 
     return F.transform(found, entity)
@@ -229,12 +340,12 @@ def _entities(text: Column, key: str, attempt: int) -> Column:
 
 def collisions(docs: DataFrame, key: str, attempt: int, text_col: str = "text") -> DataFrame:
     """Surrogates in hashed spaces that two different entities share, over all documents."""
-    hit = docs.select(F.col(text_col).alias("_t")).where(F.col("_t").rlike(ANY))
-    each = hit.select(F.explode(_entities(F.col("_t"), key, attempt)).alias("e")).where(F.col("e.kind").isin("email", "cloud_key", "credential", "name"))
+    hit = docs.select(F.col(text_col).alias("_t")).where(F.col("_t").rlike(ANY)).withColumn("_people", people(F.col("_t")))
+    each = hit.select(F.explode(_entities(F.col("_t"), F.col("_people"), key, attempt)).alias("e")).where(F.col("e.kind").isin("email", "cloud_key", "credential", "name"))
     drawn = each.select(
         F.col("e.kind").alias("kind"),
         F.col("e.canonical").alias("canonical"),
-        F.when(F.col("e.kind") == "credential", F.regexp_extract("e.surrogate", r"([A-Za-z0-9_+/-]{8,})$", 1)).otherwise(F.regexp_replace("e.surrogate", r"^\S+ (?=\S)", "")).alias("drawn"),
+        F.when(F.col("e.kind") == "credential", F.regexp_extract("e.surrogate", r"([A-Za-z0-9_+/-]{8,})$", 1)).otherwise(_family(F.col("e.surrogate"))).alias("drawn"),
     ).distinct()
     return drawn.groupBy("kind", "drawn").agg(F.count("*").alias("n")).where("n > 1")
 
@@ -244,6 +355,8 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", out: str
 
     * a null text stays null, with nothing found; a text without entities is unchanged
     * texts are read whole; overlapping matches: the leftmost, then the first kind of ``ANY``
+    * names of one text that are also common words (a person called Young) are
+      replaced in that text wherever they stand as a word of their own
     * repeated rows get equal results; other columns stay as they are, but
       ``out`` and ``found`` replace columns of these names
     * if ``attempts`` draws all collide, an error is raised rather than two
@@ -256,11 +369,14 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", out: str
             raise RuntimeError("surrogates of different entities still collide")
     text = F.col(text_col)
     hit = F.when(text.rlike(ANY), text)  # null where nothing is to be replaced
-    listed = docs.withColumn("_zm_found", F.coalesce(_entities(hit, key, attempt), F.array().cast("array<struct<mention:string,kind:string,canonical:string,surrogate:string>>")))
-    gaps = F.split(text, ANY, -1)
+    named = docs.withColumn("_zm_people", people(hit))
+    persons = F.col("_zm_people")
+    none = F.array().cast("array<struct<mention:string,kind:string,canonical:string,surrogate:string>>")
+    listed = named.withColumn("_zm_found", F.coalesce(_entities(hit, persons, key, attempt), none))
+    gaps = F.split(text, pattern_for(persons), -1)
     new = F.array_join(
         F.zip_with(gaps, F.col("_zm_found"), lambda g, e: F.concat(g, F.coalesce(e["surrogate"], F.lit("")))),
         "",
     )
-    done = listed.withColumn(out, F.when(F.size("_zm_found") > 0, new).otherwise(text))
+    done = listed.withColumn(out, F.when(F.size("_zm_found") > 0, new).otherwise(text)).drop("_zm_people")
     return done.withColumnRenamed("_zm_found", found) if found else done.drop("_zm_found")
