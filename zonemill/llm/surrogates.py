@@ -234,11 +234,10 @@ def _spelled(hexes: Column, script: str, at: int, count: int) -> Column:
 
 def gender_of(title: Column, given: Column) -> Column:
     """Of the title; under a neutral one, of the given name: listed as female, or else ending as most female ones do."""
-    title = F.regexp_replace(title, r"\.? $", "")
-    female = [n for (g, _), names in GIVEN.items() if g == "f" for n in names.split()]
-    male = [n for (g, _), names in GIVEN.items() if g == "m" for n in names.split()]
-    by_name = F.when(given.isin(*male), "m").when(given.isin(*female) | given.rlike("[aаяαάη]$"), "f").otherwise("m")
-    return F.when(title.isin(*MALE_TITLES.split()), "m").when(title.isin(*FEMALE_TITLES.split()), "f").otherwise(by_name)
+    listed = lambda gender: "|".join(names.replace(" ", "|") for (g, _), names in GIVEN.items() if g == gender)
+    by_name = F.when(given.rlike(rf"^(?:{listed('m')})$"), "m").when(given.rlike(rf"^(?:{listed('f')})$|[aаяαάη]$"), "f").otherwise("m")
+    titled = lambda titles: title.rlike(rf"^(?:{titles.replace(' ', '|')})\.? $")
+    return F.when(titled(MALE_TITLES), "m").when(titled(FEMALE_TITLES), "f").otherwise(by_name)
 
 
 def surrogate_name(m: Column, hexes: Column, gender: Column) -> Column:
@@ -254,8 +253,8 @@ def surrogate_name(m: Column, hexes: Column, gender: Column) -> Column:
     return F.concat(title, out)
 
 
-def surrogate(m: Column, kind: Column, canon: Column, gender: Column, key: str, attempt: int) -> Column:
-    """The surrogate of mention ``m``, in its format."""
+def surrogate(m: Column, kind: Column, canon: Column, gender: Column, key: str, attempt: int, numbers: bool = True) -> Column:
+    """The surrogate of mention ``m``, in its format; without ``numbers`` right for kinds in hashed spaces only."""
     h = _hash(key, F.lit(str(attempt)), kind, canon)
 
     def hashed(hexes: Column) -> Column:
@@ -271,6 +270,8 @@ def surrogate(m: Column, kind: Column, canon: Column, gender: Column, key: str,
             .otherwise(surrogate_name(m, hexes, gender))
         )
 
+    if not numbers:
+        return _let(h, hashed)
     digits = F.regexp_replace(m, "[^0-9]", "")
     return (
         F.when(kind == "ip", permuted_ip(canon, key))
@@ -307,7 +308,7 @@ def pattern_for(persons: Column) -> Column:
     return F.concat(F.lit(ANY), F.when(F.size(persons) > 0, further).otherwise(F.lit("")))
 
 
-def _entities(text: Column, persons: Column, key: str, attempt: int) -> Column:
+def _entities(text: Column, persons: Column, key: str, attempt: int, numbers: bool = True) -> Column:
     """Array of (mention, kind, canonical form, surrogate) in order of appearance."""
     found = F.regexp_extract_all(text, F.concat(F.lit("("), pattern_for(persons), F.lit(")")), F.lit(1))
 
@@ -331,7 +332,7 @@ def _entities(text: Column, persons: Column, key: str, attempt: int) -> Column:
                 e["mention"].alias("mention"),
                 e["kind"].alias("kind"),
                 e["canonical"].alias("canonical"),
-                surrogate(e["mention"], e["kind"], e["canonical"], gender(e["mention"], e["canonical"]), key, attempt).alias("surrogate"),
+                surrogate(e["mention"], e["kind"], e["canonical"], gender(e["mention"], e["canonical"]), key, attempt, numbers).alias("surrogate"),
             ),
         )
 
@@ -341,7 +342,7 @@ def _entities(text: Column, persons: Column, key: str, attempt: int) -> Column:
 def collisions(docs: DataFrame, key: str, attempt: int, text_col: str = "text") -> DataFrame:
     """Surrogates in hashed spaces that two different entities share, over all documents."""
     hit = docs.select(F.col(text_col).alias("_t")).where(F.col("_t").rlike(ANY)).withColumn("_people", people(F.col("_t")))
-    each = hit.select(F.explode(_entities(F.col("_t"), F.col("_people"), key, attempt)).alias("e")).where(F.col("e.kind").isin("email", "cloud_key", "credential", "name"))
+    each = hit.select(F.explode(_entities(F.col("_t"), F.col("_people"), key, attempt, numbers=False)).alias("e")).where(F.col("e.kind").isin("email", "cloud_key", "credential", "name"))
     drawn = each.select(
         F.col("e.kind").alias("kind"),
         F.col("e.canonical").alias("canonical"),
