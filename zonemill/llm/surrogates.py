@@ -282,9 +282,6 @@ def surrogate(m: Column, kind: Column, canon: Column, gender: Column, key: str,
     )
 
 
-PERSON = "array<struct<name:string,gender:string>>"
-
-
 def people(text: Column) -> Column:
     """The distinct names after a title in ``text``, each with a gender, in order of appearance; null if the text is null."""
     named = F.regexp_extract_all(text, F.lit(f"({NAME})"), F.lit(1))
@@ -293,7 +290,7 @@ def people(text: Column) -> Column:
         rest = F.regexp_replace(m, TITLE, "")
         return F.struct(rest.alias("name"), gender_of(F.regexp_extract(m, TITLE, 0), F.substring_index(rest, " ", 1)).alias("gender"))
 
-    return F.when(text.rlike(NAME), F.array_distinct(F.transform(named, person))).otherwise(F.when(text.isNotNull(), F.array().cast(PERSON)))
+    return F.array_distinct(F.transform(named, person))
 
 
 def _family(name: Column) -> Column:
@@ -369,11 +366,11 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", out: str
         if attempt == attempts:
             raise RuntimeError("surrogates of different entities still collide")
     text = F.col(text_col)
-    hit = F.when(text.rlike(ANY), text)  # null where nothing is to be replaced
-    named = docs.withColumn("_zm_people", people(hit))
+    # Null where nothing is to be replaced, so that ANY is tried over a text without entities once.
+    named = docs.withColumn("_zm_people", F.when(text.rlike(ANY), people(text)))
     persons = F.col("_zm_people")
     none = F.array().cast("array<struct<mention:string,kind:string,canonical:string,surrogate:string>>")
-    listed = named.withColumn("_zm_found", F.coalesce(_entities(hit, persons, key, attempt), none))
+    listed = named.withColumn("_zm_found", F.coalesce(F.when(persons.isNotNull(), _entities(text, persons, key, attempt)), none))
     gaps = F.split(text, pattern_for(persons), -1)
     new = F.array_join(
         F.zip_with(gaps, F.col("_zm_found"), lambda g, e: F.concat(g, F.coalesce(e["surrogate"], F.lit("")))),
