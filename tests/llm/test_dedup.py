@@ -174,3 +174,46 @@ def test_hot_keys_join_as_others(spark):
     right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
     got = spread(left, right, ["k"], "n", 3000)
     assert got.count() == 3000 and got.where("k = 0").agg(F.max("m")).first()[0] == 1999
+
+
+def python_in_a_row(node):
+    """(Python functions on the longest way down ``node``'s own stage, the most in any stage below or here)."""
+    children, name = node.children(), node.nodeName()
+    below = [python_in_a_row(children.apply(i)) for i in range(children.size())]
+    here, most = (max((x[k] for x in below), default=0) for k in (0, 1))
+    here = 0 if "Exchange" in name else here + ("InArrow" in name)
+    return here, max(most, here)
+
+
+def test_a_task_runs_one_python_function(docs, monkeypatch):
+    """A second function in a task takes a second worker, which then keeps a state in turn for the rest of the session."""
+    import zonemill.llm.setsketch as S
+
+    plans, cut = [], S.cut
+
+    def seen(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        plans.append(python_in_a_row(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)[1])
+        return cut(df)
+
+    monkeypatch.setattr(S, "cut", seen)
+    text = " ".join(f"w{k}" for k in range(60))
+    got = S.near_groups(docs([(1, text), (2, text + " x"), (3, "y " + text), (4, "other words")]), width=2, percent=85)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert max(plans) == 1
+
+
+def test_a_dropped_state_is_gone():
+    import weakref
+
+    from zonemill.llm import common, setsketch
+
+    class State:
+        pass
+
+    for stateless in (lambda: list(setsketch._contract(iter(()))), common.drop_state, lambda: common.worker_state("other", dict)):
+        held = weakref.ref(common.worker_state("one", State))
+        assert held() is not None
+        stateless()
+        assert held() is None
+    common.drop_state()

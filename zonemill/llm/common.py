@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 from collections.abc import Callable, Hashable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +30,27 @@ def worker_state(key: Hashable, make: Callable[[], T]) -> T:
     another key drops the state held before it makes its own.
     """
     if not _STATE or _STATE[0] != key:
-        _STATE.clear()
+        drop_state()
         _STATE.extend((key, make()))
     return _STATE[1]
 
 
+def drop_state() -> None:
+    """Give the memory of the state that this Python worker holds back; operators without a state of their own begin with it.
+
+    Spark hands tasks to its idle workers in turn, so that each of them would keep the state of an
+    operator that ended long ago.
+    """
+    if not _STATE:
+        return
+    _STATE.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 

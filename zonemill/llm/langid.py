@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, worker_state
+from .common import cut, drop_state, worker_state
 
 #: Training reads about this many labelled rows, chosen by a hash of the id; the model holds every word and n-gram of
 #: them, so its size is bounded by this sample whatever the table.
@@ -79,6 +79,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         labelled = labelled.where(F.pmod(F.xxhash64(F.lit("langid"), "i"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / total))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_state()
         seen: dict[str, Counter] = {}
 
         def flush() -> pa.RecordBatch:

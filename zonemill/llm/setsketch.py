@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, cut, in_bitmap, spread, worker_state
+from .common import bitmap_of, cut, drop_state, in_bitmap, spread, worker_state
 from .tokens import runs
 
 #: Registers, base of their scale, registers in a band.
@@ -208,6 +208,7 @@ def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (u, v) of one partition as stars: each node with the smallest node it reaches here."""
+    drop_state()
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -235,17 +236,20 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, starred: bool = False) -> DataFrame:
     """(id, component) of every node of the edges (a, b) but the smallest of each component, which is the component's name.
 
     Edges point to the smaller node.  Each round makes stars of the edges that
     meet in a partition, first where they lie and then dealt by their larger
     node, until every node has one edge.  What is left is a forest, whose paths
-    are halved until they end in the roots.
+    are halved until they end in the roots.  ``starred`` edges are stars of their
+    partition already: the task that found them made them, as a second Python function in
+    one task takes a second worker.
     """
     cur = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     while True:
-        cur = cut(cur.mapInArrow(_contract, "u long, v long").repartition("u").mapInArrow(_contract, "u long, v long"))
+        here = cur if starred else cur.mapInArrow(_contract, "u long, v long")
+        cur, starred = cut(here.repartition("u").mapInArrow(_contract, "u long, v long")), False
         if cur.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
             break
     while True:
@@ -272,12 +276,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _verify(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes, likelihood and then the full sets confirm."""
+    """The pairs (a, b) that sizes, likelihood and then the full sets confirm, as stars of each partition."""
     _, least = limits(percent)
     side = lambda x: members.select(F.col("id").alias(x), F.struct("n", "sketch", "set").alias(f"of_{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("of_a.n", "of_b.n") * 100 >= F.greatest("of_a.n", "of_b.n") * percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -286,7 +290,11 @@ def _verify(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             for k in np.flatnonzero(ok).tolist():
                 x, y = (np.frombuffer(batch[f"set_{side}"][k].as_buffer(), dtype="<u8") for side in "ab")
                 ok[k] = _is_link(x, y, percent)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["a", "b"]).rename_columns(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stars in _contract(confirmed(batches)):
+            yield stars.rename_columns(["a", "b"])
 
     flat = [F.col(f"of_{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("n", "sketch", "set")]
     return joined.select("a", "b", *flat).mapInArrow(run, "a long, b long")
@@ -358,6 +366,7 @@ def _search(open_rows: DataFrame, members: DataFrame, percent: int) -> DataFrame
     strays = rows.where("component <> top").withColumns({"stray_part": one("stray_parts"), "part": every("parts"), "is_stray": F.lit(True)}).select(*kept)
 
     def search(table: pa.Table) -> pa.Table:
+        drop_state()
         found = _links(table, percent)
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
@@ -409,7 +418,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     members = cut(each.groupBy("id").agg(F.min(F.struct("n", "sketch", "set")).alias("x")).select("id", "x.*"))
 
     pairs = buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    found = components(_verify(pairs, members, percent))
+    found = components(_verify(pairs, members, percent), starred=True)
     labelled = cut(buckets.where("c > 2").drop("lead").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
     sized = labelled.groupBy("band", "key", "component").agg(F.count("*").alias("c"), F.max("elements").alias("elements"))
     parts = F.ceil(F.greatest(F.col("all") / PART_ROWS, F.col("elements") * 8 / PART_BYTES)).cast("int")
