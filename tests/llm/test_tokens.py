@@ -141,6 +141,23 @@ def test_repair_goes_on_until_no_pair_repeats_often():
     assert len(shard.symbols) < 16 and np.array_equal(shard.document(0), run)
 
 
+def test_a_round_of_few_pairs_takes_little():
+    """The late rounds of Re-Pair count a few hundred places, and should not pay for a table of all slots."""
+    import tracemalloc
+
+    from zonemill.llm.repair_store import _frequent
+
+    rng = np.random.default_rng(9)
+    for kind in (np.uint32, np.uint64):
+        keys = rng.integers(0, 60, 300).astype(kind)
+        tracemalloc.start()
+        pairs, counts = _frequent(keys, 6)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        want = {k: int((keys == k).sum()) for k in set(keys.tolist()) if (keys == k).sum() >= 6}
+        assert dict(zip(pairs.tolist(), counts.tolist())) == want and most < 100_000
+
+
 def test_store(spark, hard, docs, word):
     path = store_path(spark)
     write_tokens(hard, path, WORD)

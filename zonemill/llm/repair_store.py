@@ -48,10 +48,8 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 
 def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, counts) of the keys that occur ``least`` times or more; only keys of well-filled slots are sorted."""
-    slots = _slot(keys)
-    full = np.bincount(slots, minlength=1 << _SLOTS) >= least
-    ordered = np.sort(keys[full[slots]])
+    """(pairs, counts) of the keys that occur ``least`` times or more."""
+    ordered = np.sort(keys)
     if not len(ordered):
         return ordered, np.zeros(0, dtype=np.int64)
     at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))

@@ -24,6 +24,8 @@ END_FLAG = 0x80000000
 SLICE_BYTES = 3_000_000
 #: What a worker keeps before it forgets the units met in one slice only: units, bytes of units, ids.
 MOST_UNITS, MOST_BYTES, MOST_IDS = 450_000, 12_000_000, 4_000_000
+#: New words in one text for the library, which takes longer a word in longer texts.
+TEXT_WORDS = 200
 
 #: Letters of ASCII and Latin-1 only; a stop, with closing signs after it, at the end.
 _WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
@@ -118,9 +120,10 @@ class UnitStore:
         keys = units.dictionary.to_pylist()
         where = list(map(self.at.get, keys))
         if None in where:
-            new = [k for k, i in enumerate(where) if i is None]
+            new, first = [k for k, i in enumerate(where) if i is None], len(self.at)
             self._add([keys[k] for k in new], *self.learn(units.dictionary.take(pa.array(new, pa.int32()))))
-            where = list(map(self.at.get, keys))
+            for i, k in enumerate(new, first):
+                where[k] = i
         rows = np.array(where, dtype=np.int64)
         self.met[rows] += 1
         rows = rows[units.indices.to_numpy(zero_copy_only=False)]
@@ -152,9 +155,9 @@ class UnitEncoder(UnitStore):
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids in a row, and sizes, of words of letters: each has one final token, its last, so they are encoded as one text."""
+        """Ids in a row, and sizes, of words of letters: each has one final token, its last, so they are encoded as few texts."""
         if words:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ids = np.concatenate(self._whole([" ".join(words[k : k + TEXT_WORDS]) for k in range(0, len(words), TEXT_WORDS)]))
             ends = np.flatnonzero(self.final[ids]) + 1
             if len(ends) == len(words):
                 return ids, np.diff(ends, prepend=0)
@@ -193,7 +196,7 @@ class UnitEncoder(UnitStore):
         return out
 
     def learn(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words of letters go to the library in one text, others one by one; units that end a sentence or line have their own copy."""
+        """Words of letters go to the library many in a text, others one by one; units that end a sentence or line have their own copy."""
         units = units.cast(pa.string())
         cores = pc.utf8_trim(units, " \n").dictionary_encode()
         core, which = cores.dictionary, cores.indices.to_numpy(zero_copy_only=False)
