@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,3 +266,19 @@ def test_number_classes(spark):
     assert len({r["s"] for r in got}) == len(ips) and all(re.fullmatch(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}", r["s"]) for r in got)
     kept = lambda r: 2 if int(r["d"].split(".")[0]) in surrogates.TWO_OCTETS else 1
     assert all(r["s"].split(".")[: kept(r)] == r["d"].split(".")[: kept(r)] for r in got)
+
+
+def test_training_gives_back_what_a_worker_held():
+    """Else each worker counts words beside the tokenizer of the packing before."""
+    import weakref
+
+    from zonemill.llm import common
+
+    class State:
+        pass
+
+    held = weakref.ref(common.worker_state("tokens", State))
+    batch = pa.RecordBatch.from_pydict({"l": ["en", "en"], "t": ["a b a", None]})
+    got = pa.Table.from_batches(langid._count(iter([batch]))).to_pylist()
+    assert held() is None
+    assert {(r["item"], r["n"]) for r in got if r["kind"] == "w"} == {("a", 2), ("b", 1)}

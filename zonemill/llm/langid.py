@@ -67,6 +67,33 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and n-grams of labelled texts (l, t): lang, kind, item, n."""
+    drop_state()
+    seen: dict[str, Counter] = {}
+
+    def flush() -> pa.RecordBatch:
+        rows = [(lang, "w", w, n) for lang, c in seen.items() for w, n in c.items()]
+        grams: dict[str, Counter] = {}
+        for lang, c in seen.items():
+            g = grams.setdefault(lang, Counter())
+            for w, n in c.items():
+                for x in grams_of(w):
+                    g[x] += n
+        rows += [(lang, "g", x, n) for lang, c in grams.items() for x, n in c.items()]
+        seen.clear()
+        columns = list(zip(*rows)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["lang", "kind", "item", "n"])
+
+    for batch in batches:
+        for lang, text in zip(batch["l"].to_pylist(), batch["t"].to_pylist()):
+            seen.setdefault(lang, Counter()).update(words_of(text or ""))
+        if sum(map(len, seen.values())) > 200_000:
+            yield flush()
+    if seen:
+        yield flush()
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Count words and n-grams of about ``sample_rows`` rows that are not held out and have a text and a language.
 
@@ -78,33 +105,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if total > sample_rows:
         labelled = labelled.where(F.pmod(F.xxhash64(F.lit("langid"), "i"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / total))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_state()
-        seen: dict[str, Counter] = {}
-
-        def flush() -> pa.RecordBatch:
-            rows = [(lang, "w", w, n) for lang, c in seen.items() for w, n in c.items()]
-            grams: dict[str, Counter] = {}
-            for lang, c in seen.items():
-                g = grams.setdefault(lang, Counter())
-                for w, n in c.items():
-                    for x in grams_of(w):
-                        g[x] += n
-            rows += [(lang, "g", x, n) for lang, c in grams.items() for x, n in c.items()]
-            seen.clear()
-            columns = list(zip(*rows)) or [(), (), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["lang", "kind", "item", "n"])
-
-        for batch in batches:
-            for lang, text in zip(batch["l"].to_pylist(), batch["t"].to_pylist()):
-                seen.setdefault(lang, Counter()).update(words_of(text or ""))
-            if sum(map(len, seen.values())) > 200_000:
-                yield flush()
-        if seen:
-            yield flush()
-
     # Read three times below, counted once.
-    counts = cut(labelled.mapInArrow(count, "lang string, kind string, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")))
+    counts = cut(labelled.mapInArrow(_count, "lang string, kind string, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")))
     sizes = {(r["kind"], r["lang"]): r["n"] for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for _, lang in sizes})
     in_lang = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k, lang in enumerate(langs)]
