@@ -282,3 +282,19 @@ def test_training_gives_back_what_a_worker_held():
     got = pa.Table.from_batches(langid._count(iter([batch]))).to_pylist()
     assert held() is None
     assert {(r["item"], r["n"]) for r in got if r["kind"] == "w"} == {("a", 2), ("b", 1)}
+
+
+def test_documents_are_judged_few_at_a_time(spark, docs):
+    """Else a worker holds the texts of a whole batch as Python objects and as a copy of those kept."""
+
+    class Rows:
+        sparkSession, schema = spark, None
+
+        def mapInArrow(self, run, kinds):
+            return run
+
+    model = langid.train(docs([(k, f"the word {k}" if k % 2 else f"das wort {k}", "en" if k % 2 else "de") for k in range(40)]))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1200)), "text": ["12" if k % 3 == 0 else "the word" for k in range(1200)]})
+    got = list(langid.keep_identified(Rows(), model)(iter([batch])))
+    assert max(b.num_rows for b in got) <= 500
+    assert [i for b in got for i in b["doc_id"].to_pylist()] == [k for k in range(1200) if k % 3]

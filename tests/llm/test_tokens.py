@@ -207,3 +207,35 @@ def test_cuts_are_the_cheapest():
         cuts = best_cuts(at, cost, size, prices)
         paid = sum(p[b] + min(size - (b - a), prices.power if (b - a) & (b - a - 1) == 0 and b - a < size else 10**9) for a, b in zip(cuts, cuts[1:]))
         assert paid == f[n] and cuts[0] == 0 and cuts[-1] == n
+
+
+def test_a_worker_has_little_in_work(word, monkeypatch):
+    """Few texts go to the library at a time and few bytes to the encoder; buffers, and so the cuts, stay as they are."""
+    from zonemill.llm import packing
+
+    class Library:
+        def encode_batch_fast(self, given, **more):
+            most.append(len(given))
+            return word.encode_batch_fast(given, **more)
+
+    class Rows:
+        def mapInArrow(self, run, kinds):
+            return run
+
+    most, parts = [], []
+    enc = UnitEncoder(WORD)
+    enc.tokenizer = Library()
+    given = [f"{k}x" for k in range(5000)]
+    assert [list(x) for x in enc.encode(pa.array(given))] == [e.ids for e in word.encode_batch(given, add_special_tokens=False)]
+    assert max(most) <= 2000
+
+    flagged = UnitEncoder.flagged
+    monkeypatch.setattr(UnitEncoder, "flagged", lambda self, part: parts.append(part.nbytes) or flagged(self, part))
+    monkeypatch.setattr(packing, "in_order", lambda *a: Rows())
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Context", (), {"partitionId": lambda self: 0})())
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(900)), "text": [f"Number {k} of many. " * 250 for k in range(900)]})
+    run = pack(None, WORD, buffer_ids=100_000)
+    got = pa.Table.from_batches(run(iter([batch])))
+    assert max(parts) < 1_100_000 < batch.nbytes
+    monkeypatch.setattr(packing, "PART_BYTES", 100_000_000)
+    assert got == pa.Table.from_batches(run(iter([batch])))

@@ -45,6 +45,11 @@ def drop_state() -> None:
         return
     _STATE.clear()
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Return what Arrow and the C library keep of freed memory to the system: beside a full heap of the JVM it counts."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_state, worker_state
+from .common import cut, drop_state, give_back, worker_state
 
 #: Training reads about this many labelled rows, chosen by a hash of the id; the model holds every word and n-gram of
 #: them, so its size is bounded by this sample whatever the table.
@@ -29,6 +29,8 @@ SAMPLE_ROWS = 10_000
 LONGEST = 4
 #: Scored words that a worker keeps.
 CACHE_WORDS = 200_000
+#: Rows of a batch that a worker holds as Python texts, and returns, at a time.
+SLICE_ROWS = 500
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTERS = regex.compile(r"\p{L}+")
@@ -216,7 +218,10 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         for batch in batches:
-            made = (scorer.score(t) for t in batch[text_col].to_pylist())
-            yield batch.filter(pa.array([lang != UNDETERMINED and s >= least for lang, s in made], pa.bool_()))
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(lo, SLICE_ROWS)
+                made = (scorer.score(t) for t in part[text_col].to_pylist())
+                yield part.filter(pa.array([lang != UNDETERMINED and s >= least for lang, s in made], pa.bool_()))
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,10 +25,13 @@ import zlib
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import give_back
 from .repair_store import in_order
 from .tokens import END_FLAG, UnitEncoder, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
+#: Bytes of text that a worker has in work at a time (one text at least); buffers end with slices, which are larger.
+PART_BYTES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -165,12 +168,14 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, pri
         for batch in batches:
             known = batch["doc_id"].to_pylist()
             for lo, texts in slices(batch["text"]):
-                for doc, ids in zip(known[lo:], encoder.flagged(texts)):
-                    whole = np.concatenate((ids, end))
-                    held.append((doc, 0, len(whole), whole))
-                    count += len(whole)
+                for at, part in slices(texts, PART_BYTES):
+                    for doc, ids in zip(known[lo + at :], encoder.flagged(part)):
+                        whole = np.concatenate((ids, end))
+                        held.append((doc, 0, len(whole), whole))
+                        count += len(whole)
                 if count >= buffer_ids:
                     yield from solve(False)
+                give_back()
         if held:
             yield from solve(True)
 

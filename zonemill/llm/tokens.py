@@ -26,6 +26,8 @@ SLICE_BYTES = 3_000_000
 MOST_UNITS, MOST_BYTES, MOST_IDS = 450_000, 12_000_000, 4_000_000
 #: New words in one text for the library, which takes longer a word in longer texts.
 TEXT_WORDS = 200
+#: Texts given to the library at a time: an encoding takes many times the memory of its ids.
+LIBRARY_TEXTS = 2000
 
 #: Letters of ASCII and Latin-1 only; a stop, with closing signs after it, at the end.
 _WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
@@ -152,7 +154,8 @@ class UnitEncoder(UnitStore):
             self.final[i] = token.endswith("</w>")
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = (texts[k : k + LIBRARY_TEXTS] for k in range(0, len(texts), LIBRARY_TEXTS))
+        return [np.array(e.ids, dtype="<u4") for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids in a row, and sizes, of words of letters: each has one final token, its last, so they are encoded as few texts."""
