@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonemill.operators.parse import parse
+from zonemill.plans import quality
 from zonemill.sources.bridge import cd
 
 L1, L2 = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<", "L898902C36UTO7408122F1204159ZE184226B<<<<<10"
@@ -44,6 +45,12 @@ def test_parts_and_empty_batches(reads):
     assert r[1]["raw"]["name"].startswith("ERIKSSON<<ÉNNÉ") and r[2]["document"]["document_number"] == "D231458901" and r[3]["raw"] is None
 
 
+def test_histogram_reads_once(reads):
+    df = quality.issue_histogram(parse(reads, "t", parts=("checks", "issues")), most=1)
+    assert plan(df).count("ArrowEvalPython") == 1
+    assert {(r["state"], r["kind"], r["n"]) for r in df.collect()} == {("clean", "BadFormat", 4), ("dirty", "NotFound", 2)}
+
+
 def test_bridge_check_digits_agree_with_the_sql(spark):
     texts = ["", "<", "A", "L898902C3", "Z" * 15, "9" * 16, "C00000012<", "D23145890", "ZZ<" * 16 + "A9"]
     mine = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.expr(cd("t", False, 50)).alias("d"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..formats import FIELDS, LINE_COUNT, LINE_LENGTH, TYPES
@@ -23,12 +23,12 @@ def format_counts(parsed: DataFrame) -> DataFrame:
 
 
 def issue_histogram(parsed: DataFrame, most: int = 8) -> DataFrame:
-    """Issues by record state, kind, field and first word; all of clean records, the ``most`` commonest of others."""
+    """Issues by record state, kind, field and first word; all of clean records, the ``most`` commonest of others.  The records are read once."""
     clean = F.col("mrz.checks.all_valid") & F.col("mrz.mrz_found")
     each = parsed.select(F.when(clean, "clean").otherwise("dirty").alias("state"), F.explode("mrz.issues").alias("i"))
     counted = each.groupBy("state", F.col("i.kind").alias("kind"), F.col("i.field").alias("field"), F.substring_index("i.message", " ", 1).alias("word")).agg(F.count("*").alias("n"))
-    dirty = counted.where("state <> 'clean'").orderBy(F.desc("n"), "kind", "field", "word").limit(most)
-    return counted.where("state = 'clean'").unionByName(dirty)
+    rank = F.row_number().over(Window.partitionBy("state").orderBy(F.desc("n"), "kind", "field", "word"))
+    return counted.withColumn("_rank", rank).where((F.col("state") == "clean") | (F.col("_rank") <= most)).drop("_rank")
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
