@@ -51,6 +51,14 @@ def test_histogram_reads_once(reads):
     assert {(r["state"], r["kind"], r["n"]) for r in df.collect()} == {("clean", "BadFormat", 4), ("dirty", "NotFound", 2)}
 
 
+def test_evaluation_is_one_arrow_pass(spark):
+    labels = spark.createDataFrame([(1, ["AÉ😀?", "XY"]), (2, None)], "file int, label array<string>")
+    got = spark.createDataFrame([(1, ["AÉ😀"]), (2, ["A"])], "file int, read array<string>")
+    df = quality.evaluate_files(labels, got)
+    assert "lambda" not in plan(df.select("characters", "correct"))
+    assert {r["file"]: (r["characters"], r["correct"]) for r in df.collect()} == {1: (5, 3), 2: (0, 0)}
+
+
 def test_bridge_check_digits_agree_with_the_sql(spark):
     texts = ["", "<", "A", "L898902C3", "Z" * 15, "9" * 16, "C00000012<", "D23145890", "ZZ<" * 16 + "A9"]
     mine = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.expr(cd("t", False, 50)).alias("d"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +59,33 @@ def _name_field(label: Column) -> Column:
     return out
 
 
+def _points(lines: pa.Array) -> np.ndarray:
+    return np.frombuffer("".join(lines.to_pylist()).encode("utf-32-le"), np.uint32)
+
+
+def _characters(want: pa.Array, got: pa.Array, name: pa.Array) -> pa.Array:
+    """Counted characters of ``want``, those that ``got`` has at their place, and the others within ``name``, of each row."""
+    n = len(want)
+    size, has = (pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (want, got))
+    file = np.repeat(np.arange(n), size)
+    line = np.arange(len(file)) - (np.cumsum(size) - size)[file]
+    wanted = pc.fill_null(want.flatten(), "")
+    read = pa.concat_arrays([pc.fill_null(got.flatten(), ""), pa.array([""], wanted.type)])
+    read = read.take(pa.array(np.where(line < has[file], (np.cumsum(has) - has)[file] + line, len(read) - 1)))
+    length, reach = (pc.utf8_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (wanted, read))
+    at = np.repeat(np.arange(len(file)), length)
+    column = np.arange(len(at)) - (np.cumsum(length) - length)[at]
+    points = _points(wanted)
+    others = np.append(_points(read), np.uint32(0))
+    within = column < reach[at]
+    right = within & (others[np.where(within, (np.cumsum(reach) - reach)[at] + column, 0)] == points)
+    row, start, width = (pc.fill_null(pc.struct_field(name, i), -1).to_numpy(zero_copy_only=False)[file] for i in range(3))
+    in_name = (line == row)[at] & (column >= start[at]) & (column < (start + width)[at])
+    counted = points != ord("?")
+    sums = [np.bincount(file[at[x]], minlength=n) for x in (counted, counted & right, counted & ~right & in_name)]
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in sums], names=["characters", "correct", "name_errors"])
+
+
 def evaluate_files(labels: DataFrame, reads: DataFrame) -> DataFrame:
     """A row for each file of ``labels(file, label)``: how ``reads(file, read)`` fits it line by line; both are arrays of lines.
 
@@ -72,21 +102,9 @@ def evaluate_files(labels: DataFrame, reads: DataFrame) -> DataFrame:
     no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     j = j.select("file", "_want", F.coalesce("_got", F.array().cast("array<string>")).alias("_got"), F.col("_got").isNull().alias("missing"), no("found"), no("valid"), no("composite_conflict"), _name_field(F.col("_want")).alias("_name"))
 
-    def characters(line: Column, row: Column) -> Column:
-        read = F.coalesce(F.get("_got", row), F.lit(""))
-        each = F.transform(
-            F.filter(F.split(line, ""), lambda c: c != ""),
-            lambda c, col: F.struct(
-                c.alias("want"),
-                (F.substring(read, col + 1, F.lit(1)) == c).alias("right"),
-                F.coalesce((row == F.col("_name.line")) & (col >= F.col("_name.start")) & (col < F.col("_name.start") + F.col("_name.length")), F.lit(False)).alias("in_name"),
-            ),
-        )
-        return F.filter(each, lambda x: x["want"] != "?")
-
-    j = j.withColumn("_each", F.flatten(F.transform("_want", characters)))
-    right = F.size(F.filter("_each", lambda x: x["right"]))
-    j = j.withColumns({"characters": F.size("_each").cast("long"), "correct": right.cast("long"), "name_errors": F.when(F.col("missing"), 0).otherwise(F.size(F.filter("_each", lambda x: ~x["right"] & x["in_name"]))).cast("long")})
+    each = F.arrow_udf(_characters, "struct<characters:long,correct:long,name_errors:long>")
+    j = j.withColumn("_each", each("_want", "_got", "_name"))
+    j = j.select(*(c for c in j.columns if c != "_each"), "_each.characters", "_each.correct", F.when(F.col("missing"), 0).otherwise(F.col("_each.name_errors")).cast("long").alias("name_errors"))
     lengths = lambda c: F.transform(c, lambda x: F.length(x))
     all_right = F.col("correct") == F.col("characters")
     zone = F.size("_want") > 0
