@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from zonemill.operators.parse import parse
 from zonemill.plans import quality
 from zonemill.sources.bridge import cd
+from zonemill.streaming.session import agreeing, fuse
 
 L1, L2 = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<", "L898902C36UTO7408122F1204159ZE184226B<<<<<10"
 
@@ -59,6 +60,21 @@ def test_evaluation_is_one_arrow_pass(spark):
     assert {r["file"]: (r["characters"], r["correct"]) for r in df.collect()} == {1: (5, 3), 2: (0, 0)}
 
 
+class Weight(float):
+    added = 0
+
+    def __radd__(self, other):
+        Weight.added += 1
+        return float(self) + other
+
+
+def test_only_differing_characters_are_voted_on():
+    held = [[[L1, L2], Weight(0.5), None] for _ in range(16)]
+    assert fuse(held) == [L1, L2] and agreeing(held, [L1, L2]) == 16 and Weight.added == 0
+    held[3][0] = [L1, "M" + L2[1:]]
+    assert fuse(held) == [L1, L2] and Weight.added == 16
+
+
 def test_bridge_check_digits_agree_with_the_sql(spark):
     texts = ["", "<", "A", "L898902C3", "Z" * 15, "9" * 16, "C00000012<", "D23145890", "ZZ<" * 16 + "A9"]
     mine = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.expr(cd("t", False, 50)).alias("d"))
